@@ -69,3 +69,26 @@ def drop_cuts(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
+SPAN = "array<struct<start:int,end:int,text:string>>"
+
+
+def spans(text: Column, pattern: Column) -> Column:
+    """Leftmost non-overlapping matches of a Java regex, with code point offsets (end exclusive).
+
+    The pattern must not match the empty string. Offsets come from the lengths
+    of the pieces between matches, so no user function is needed.
+    """
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("h"))
+    parts = F.transform(parts, lambda x: F.struct(F.length(x["p"]).alias("gap"), x["h"].alias("hit")))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        found = F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("text"))
+        return F.struct(
+            (start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
+            F.when(x["hit"].isNull(), a["out"]).otherwise(F.array_append(a["out"], found)).alias("out"),
+        )
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda a: a["out"])

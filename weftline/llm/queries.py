@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import quality
+from weftline.llm import licenses, quality
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLES = {
