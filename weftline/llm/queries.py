@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from weftline.llm import licenses, quality
+from weftline.llm import chat, licenses, quality, secret_scan
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op6_chat_format": chat.op6_chat_format,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLES = {
+    "op6_chat_format": chat.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
