@@ -14,12 +14,14 @@ through, except those named like an output, which are replaced.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import license_rules
-from weftline.llm.common import ascii_lower, spans, table, whole_text
+from weftline.llm.common import spans, table, whole_text
 
 # Words are maximal runs outside these characters once A-Z is lower case; patterns here keep A-Z instead.
 BREAK = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -63,7 +65,9 @@ def detect(docs: DataFrame, text: str = "text", rules: list[dict] | None = None)
     """`docs` with `detections`: kept (start, end, id, rank, score, label, kind) in order of start."""
     table_ = F.from_json(F.lit(json.dumps(license_rules.rules() if rules is None else rules)), RULE)
     t, low = F.col("__l_t"), F.col("__l_low")
-    out = docs.withColumn("__l_t", whole_text(text)).withColumn("__l_low", F.when(t.rlike(license_rules.GATE), ascii_lower(t)))
+    out = docs.withColumn("__l_t", whole_text(text)).withColumn("__l_low", F.lower("__l_t"))
+    gate = reduce(or_, (F.contains(low, F.lit(g)) for g in license_rules.GATE))
+    out = out.withColumn("__l_low", F.when(gate, low))
     out = out.withColumn("__l_c", F.when(low.isNotNull(), F.filter(table_, lambda r: F.contains(low, r["keyword"]) & F.rlike(t, r["pattern"]))))
 
     def hits(r: Column) -> Column:
@@ -87,7 +91,8 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     count = lambda c: F.regexp_count(c, F.lit(f"{WORD}+"))
     t = F.col("__s_t")
     out = detect(docs, text).withColumn("__s_t", whole_text(text))
-    out = out.withColumns({"n_words": count(t).cast("long"), "__s_p": F.when(t.rlike(BASE), F.split(t, BASE, -1))})
+    gate = F.contains(F.lower(t), F.lit("license")) | t.rlike(f"(?i){_phrase('cc by nc')}")
+    out = out.withColumns({"n_words": count(t).cast("long"), "__s_p": F.when(gate, F.when(t.rlike(BASE), F.split(t, BASE, -1)))})
     out = out.withColumn("__s_h", F.when(F.col("__s_p").isNotNull(), F.regexp_extract_all(t, F.lit(BASE), F.lit(0))))
     pieces, held = F.col("__s_p"), F.col("__s_h")
     base = F.array_compact(F.array(*(F.when(pieces.isNotNull() & t.rlike(_whole(_phrase(p))), F.lit(label)) for label, p in PHRASES)))
