@@ -171,6 +171,10 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def of_kind(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
     """The text with every found span replaced; overlapping spans give one mark."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -191,7 +195,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.kind for r in BASE]
     return out.select(
         "doc_id",
-        *(F.size(F.filter(found, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
+        *(of_kind(found, k).alias(f"n_{k}") for k in base),
         F.sha2(listed(F.filter(found, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         listed(found).alias("spans"),
     )
