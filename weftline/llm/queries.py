@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, licenses, quality, secret_scan
+from weftline.llm import chat, licenses, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_shard": sharding.op2_shard,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_warc": warc.op7_warc,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLES = {
+    "op7_warc": warc.OP7_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
