@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, licenses, quality, secret_scan, sharding, warc
+from weftline.llm import chat, licenses, quality, secret_scan, sharding, simhash, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_warc": warc.op7_warc,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_simhash_dedup": simhash.op9_simhash_dedup,
 }
 ORACLES = {
     "op7_warc": warc.OP7_SQL,
