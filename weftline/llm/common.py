@@ -92,3 +92,14 @@ def spans(text: Column, pattern: Column) -> Column:
         )
 
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda a: a["out"])
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """`df` where `condition` holds, evaluated once above the projections below it.
+
+    Catalyst pushes a filter through projections by writing their expressions
+    into it; a condition on a long chain of array expressions would then be
+    evaluated again, each reference in full. A column that isn't deterministic,
+    and is true of every row, stops that.
+    """
+    return df.withColumn("__bar", F.monotonically_increasing_id()).where(condition & (F.col("__bar") >= 0)).drop("__bar")

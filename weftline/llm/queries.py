@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, licenses, quality, secret_scan, sharding, simhash, warc
+from weftline.llm import chat, decontam, licenses, quality, secret_scan, sharding, simhash, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
+    "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLES = {
     "op7_warc": warc.OP7_SQL,
