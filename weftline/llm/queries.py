@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, decontam, licenses, packing, quality, secret_scan, sharding, simhash, warc
+from weftline.llm import chat, decontam, licenses, lm_score, packing, quality, secret_scan, sharding, simhash, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_shard": sharding.op2_shard,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_packing": packing.op4_packing,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_chat_format": chat.op6_chat_format,
     "op7_warc": warc.op7_warc,
     "op8_quality_rules": quality.op8_quality_rules,
