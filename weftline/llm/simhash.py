@@ -54,13 +54,14 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        got = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+        got = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["doc_id", "carry", "fp"])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the 64 bits of the fingerprint as a long."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """(doc_id, carry, fp): the 64 bits of the fingerprint as a long; `carry` is a column of longs handed through."""
+    more = (F.col(carry) if carry else F.lit(None)).cast("long").alias("carry")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), more, F.col(text).alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, carry long, fp long")
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -171,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, the document's own included."""
-    found = cut(fingerprints(docs, doc_id, text), "fingerprints")
+    found = cut(fingerprints(docs, doc_id, text).drop("carry"), "fingerprints")
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(links(distinct, radius, tile)).withColumnRenamed("u", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -179,6 +180,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.join(rooted.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of `docs` for each component: that of the smallest doc_id (null last), of equal ones that of the smallest text hash."""
+    keyed = docs.withColumns({"__d_id": F.col(doc_id).cast("long"), "__d_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    prints = fingerprints(keyed, "__d_id", text, carry="__d_h")
+    found = cut(prints.select("doc_id", "carry", "fp"), "fingerprints")
+    roots = components(links(found.select("fp").distinct(), radius, tile)).withColumnRenamed("u", "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "carry"))
+    one = found.groupBy("fp").agg(first.alias("f"))  # copies collapse before the join
+    one = one.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("f").alias("f"))
+    keep = one.select(F.col("f.doc_id").alias("__k_id"), F.col("f.carry").alias("__k_h"))
+    out = keyed.join(keep, F.col("__d_id").eqNullSafe(F.col("__k_id")) & (F.col("__d_h") == F.col("__k_h")), "left_semi")
+    return out.dropDuplicates(["__d_id", "__d_h"]).drop("__d_id", "__d_h")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
