@@ -36,7 +36,7 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Tokens that a window holds at most, beyond its last document.
 WINDOW = 1_500_000
-CACHE = 500_000
+CACHE = 600_000
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
@@ -45,7 +45,12 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 class Encoder(dict):
-    """Ids of chunks without white space, as little-endian 16-bit bytes; at most CACHE chunks are remembered."""
+    """Ids of chunks without white space, as little-endian 16-bit bytes; about CACHE chunks are remembered.
+
+    A chunk that is a run of Latin letters with some signs behind it is two
+    words to the tokenizer, which also puts letters in lower case; the letter
+    runs are remembered apart, so the signs and capitals cost nothing.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,6 +58,23 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remember the new chunks; their letter runs go to the tokenizer in one call, each is one word with a marked end."""
+        found = [(c, m[1].translate(_UPPER), m[2]) for c in set(chunks) if c not in self and (m := _NAME.fullmatch(c))]
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
+        if len(self) >= CACHE:
+            self.clear()
+        fresh = list({w for _, w, _ in found if w not in self.parts})
+        ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, dtype="<u2")
+        stops, joined = (2 * (np.nonzero(self.ends[ids])[0] + 1)).tolist(), ids.tobytes()
+        for word, start, stop in zip(fresh, [0, *stops], stops, strict=False):
+            self.parts[word] = joined[start:stop]
+        for c, word, tail in found:
+            self[c] = self.parts[word] + self.part(tail) if tail else self.parts[word]
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -61,21 +83,21 @@ class Encoder(dict):
         got = self.parts.get(text)
         if got is None:
             got = self.ids(text)
-            if len(self.parts) < CACHE:
-                self.parts[text] = got
+            self.parts[text] = got
         return got
 
     def __missing__(self, chunk: str) -> bytes:
-        # a run of Latin letters and one of these signs are pieces of their own, and letters are put in lower case
-        m = _NAME.fullmatch(chunk)
-        got = self.part(m[1].translate(_UPPER)) + (self.part(m[2]) if m[2] else b"") if m else self.ids(chunk)
-        if len(self) < CACHE:
-            self[chunk] = got
+        self[chunk] = got = self.ids(chunk)
         return got
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text and the end id, as 16-bit integers."""
-        whole = self.ids(text) if _WHOLE.search(text) else b"".join(map(self.__getitem__, text.split()))
+        if _WHOLE.search(text):
+            whole = self.ids(text)
+        else:
+            chunks = text.split()
+            self.learn(chunks)
+            whole = b"".join(map(self.__getitem__, chunks))
         return np.frombuffer(whole + END_ID.to_bytes(2, "little"), dtype="<u2")
 
 
