@@ -97,10 +97,12 @@ class Index:
             kinds.append(F.when(ok, F.lit(r.kind)))
         return F.array_compact(F.array(*kinds)) if kinds else F.array().cast("array<string>")
 
-    def posted(self, low: Column) -> Column:
-        """The indexed trigrams of a lower-cased text, which should be a column: it is looked at once a term."""
+    def posted(self, text: Column) -> Column:
+        """The indexed trigrams of a text."""
         terms = F.from_json(F.lit(json.dumps(self.terms)), "array<string>")
-        return F.filter(terms, lambda t: F.contains(low, t))
+        # a lambda's argument is evaluated once; a column named in a lambda may be written out in it by Catalyst
+        within = F.transform(F.array(F.lower(text)), lambda low: F.filter(terms, lambda t: F.contains(low, t)))
+        return F.get(within, F.lit(0))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -150,12 +152,12 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", in
     t = F.col("__k_t")
     scanned = [F.when(_maybe(r, t), _found(r, t)).otherwise(none) for r in index.scanned]
     rows = rows.withColumn("__k_all", F.concat(*scanned) if scanned else none)
-    rows = rows.withColumn("__k_low", F.lower("__k_t")).withColumn("__k_terms", index.posted(F.col("__k_low")))
+    rows = rows.withColumn("__k_terms", index.posted(t))
     ships = F.lit(False)
     for r in index.indexed:
         for clause in index.queries[r.kind]:
             ships = ships | F.forall(F.array(*map(F.lit, sorted(clause))), lambda c: F.array_contains("__k_terms", c))
-    rows = rows.withColumn("__k_v", F.when(ships, t)).drop("__k_terms", "__k_low", "__k_t")
+    rows = rows.withColumn("__k_v", F.when(ships, t)).drop("__k_terms", "__k_t")
     hit = found.select(F.col("__k_id").alias("__c_id"), F.col("__k_hash").alias("__c_hash"), F.col("kinds").alias("__c_kinds"))
     rows = rows.join(hit, F.col("__k_id").eqNullSafe(F.col("__c_id")) & (F.col("__k_hash") == F.col("__c_hash")), "left")
     v = F.col("__k_v")
