@@ -10,9 +10,8 @@ An id's embedding is its share of each component (a row of length K), so ids
 that the gate was never fitted on have one too. A mixture needs no softmax over
 the vocabulary: scoring an id reads one row of P.
 
-Windows of WIDTH ids overlap by half: each id is scored once, by the window
-that gives it the most context, and all windows of a batch are one masked
-product.
+Windows of WIDTH ids overlap: each id is scored once, and all windows of a batch
+are one masked product.
 
 `fit` starts the tables and fits the attention on a bounded sample; `expected`
 returns the statistics from which `Tables.build` makes A and P over all text.
@@ -27,7 +26,9 @@ import numpy as np
 K = 16
 DIM = 8
 WIDTH = 32
-STEP = WIDTH // 2
+#: A window scores its last STEP targets, the first one all of them: the least context is WIDTH - STEP + 1 ids.
+STEP = 24
+HEAD = WIDTH - STEP
 #: Weight of the corpus-wide distribution in each component, and of a uniform one in that.
 SMOOTH = 20.0
 FLOOR = 0.1
@@ -74,16 +75,17 @@ def windows(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """(inputs, targets, scored) of a text, one row a window; `start` stands before the first id.
 
     Window w predicts targets w*STEP .. w*STEP+WIDTH-1; all are scored in the
-    first window, the second half in the others. Rows are padded with `start`.
+    first window, the last STEP in the others. Rows are padded with `start`.
     """
     n = len(ids)
     m = 1 + max(0, -(-(n - WIDTH) // STEP))
-    flat = np.full((m - 1) * STEP + WIDTH + 1, start, dtype=np.int64)
+    flat = np.full((m - 1) * STEP + WIDTH + 1, start, dtype=np.int32)
     flat[1 : n + 1] = ids
-    at = np.arange(m)[:, None] * STEP + np.arange(WIDTH)
-    scored = at < n
-    scored[1:, :STEP] = False
-    return flat[at], flat[at + 1], scored
+    rows = np.lib.stride_tricks.sliding_window_view(flat, WIDTH + 1)[::STEP]
+    scored = np.ones((m, WIDTH), dtype=bool)
+    scored[1:, :HEAD] = False
+    scored[-1, n - (m - 1) * STEP :] = False
+    return rows[:, :-1], rows[:, 1:], scored
 
 
 _DISTANCE = np.arange(WIDTH)[:, None] - np.arange(WIDTH)
@@ -93,33 +95,38 @@ _MASK = np.where(_DISTANCE >= 0, np.float32(0), np.float32(-1e9))
 class Model:
     def __init__(self, tables: Tables, gate: Gate):
         self.t, self.g = tables, gate
-        self.q = tables.e @ gate.q
-        self.k = tables.e @ gate.k / np.float32(np.sqrt(DIM))
-        self.v = tables.e @ gate.v
+        # what is read at the same places lies side by side
+        self.of_query = np.concatenate([tables.e @ gate.q / np.float32(np.sqrt(DIM)), tables.log_a], axis=1)
+        self.of_key = np.concatenate([tables.e @ gate.k, tables.e @ gate.v], axis=1)
         self.bias = _MASK + gate.near[np.maximum(_DISTANCE, 0)]
 
-    def attend(self, x: np.ndarray, first: int = 0) -> np.ndarray:
-        """Attention weights of the positions from `first` on over all of each window."""
-        s = np.matmul(self.q[x[:, first:]], self.k[x].transpose(0, 2, 1))
+    def _weights(self, queries: np.ndarray, keys: np.ndarray, first: int) -> np.ndarray:
+        s = np.matmul(queries, keys.transpose(0, 2, 1))
         s += self.bias[first:]
         np.exp(s, out=s)  # scores are small: embeddings are shares
-        s /= s.sum(-1, keepdims=True)
+        s *= 1 / s.sum(-1, keepdims=True)
         return s
 
+    def attend(self, x: np.ndarray, first: int = 0) -> np.ndarray:
+        """Attention weights of the positions from `first` on over all of each window."""
+        return self._weights(self.of_query[x[:, first:], :DIM], self.of_key[x, :DIM], first)
+
     def gates(self, x: np.ndarray, first: int = 0) -> np.ndarray:
-        z = np.matmul(self.attend(x, first), self.v[x])
-        z += self.t.log_a[x[:, first:]]
+        """Gate of each position from `first` on, not normalized."""
+        query, key = self.of_query[x[:, first:]], self.of_key[x]
+        z = np.matmul(self._weights(query[..., :DIM], key[..., :DIM], first), key[..., DIM:])
+        z += query[..., DIM:]
         np.exp(z, out=z)  # priors are smoothed, so no row can vanish
-        z /= z.sum(-1, keepdims=True)
         return z
 
     def _each(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray):
         """(last ids, targets, joint K-vectors) of the scored positions; first and later windows apart."""
         whole = scored[:, 0]
-        for rows, first in ((whole, 0), (~whole, STEP)):
+        for rows, first in ((whole, 0), (~whole, HEAD)):
             if rows.any():
                 keep = scored[rows][:, first:]
                 joint = self.gates(x[rows], first)[keep]
+                joint *= 1 / joint.sum(-1, keepdims=True)
                 target = y[rows][:, first:][keep]
                 joint *= self.t.p[target]
                 yield rows, first, keep, x[rows][:, first:][keep], target, joint

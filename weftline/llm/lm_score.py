@@ -19,9 +19,12 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import pickle
+import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +35,15 @@ from pyspark.sql import functions as F
 
 from weftline.llm import attention_lm as lm
 from weftline.llm.common import cut, table
-from weftline.llm.packing import encoder, vocabulary_path
 
 SAMPLE_DOCS = 500
 FREQUENT = 400_000
 FOLDS = 10
 END_WORD = b"\n"  # no word contains white space
-VOCABULARY_SIZE = 49_408
-START_ID, END_ID = 49_406, 49_407
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+END_ID, START_ID, VOCABULARY_SIZE = 50_256, 50_257, 50_258
+#: A run without white space longer than this is tokenized in pieces, as merging is slow on long runs.
+LONGEST_RUN = 20_000
 #: Distinct words that a task holds before it hands its counts on.
 HELD_WORDS = 400_000
 BATCH = 2048
@@ -60,10 +64,34 @@ def words(text: str) -> list[bytes]:
     return out
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+_RUN = re.compile(rf"\S{{{LONGEST_RUN}}}")
+
+
 def _ids(enc, text: str) -> np.ndarray:
-    ids = enc.encode(text).astype(np.int64)
-    ids[-1] = END_ID
-    return ids
+    """Ids of a text in lower case (A-Z), then the end."""
+    low = text.encode().lower().decode()
+    if len(low) > LONGEST_RUN and _RUN.search(low):
+        ids = [i for k in range(0, len(low), LONGEST_RUN) for i in enc.encode_ordinary(low[k : k + LONGEST_RUN])]
+    else:
+        ids = enc.encode_ordinary(low)
+    ids.append(END_ID)
+    return np.array(ids, dtype=np.int32)
 
 
 def _rows(batches):
