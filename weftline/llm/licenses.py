@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import license_rules
-from weftline.llm.common import spans, table, whole_text
+from weftline.llm.common import anchored, spans, table, whole_text
 
 # Words are maximal runs outside these characters once A-Z is lower case; patterns here keep A-Z instead.
 BREAK = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -107,9 +107,10 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.col("detections")
     return out.withColumns(
         {
-            "base_labels": F.array_join("__s_b", ","),
-            "labels": F.array_join(F.array_sort(F.array_distinct(F.concat("__s_b", F.transform(found, lambda d: d["label"])))), ","),
-            "score": F.greatest(F.coalesce(F.array_max(F.transform(found, lambda d: d["score"])), F.lit(0.0)), F.when(F.size("__s_b") > 0, F.lit(0.9)).otherwise(F.lit(0.0))),
+            **{c: anchored(F.col(c)) for c in ("detections", "n_words", "n_base", "first_word", "last_word")},
+            "base_labels": anchored(F.array_join("__s_b", ",")),
+            "labels": anchored(F.array_join(F.array_sort(F.array_distinct(F.concat("__s_b", F.transform(found, lambda d: d["label"])))), ",")),
+            "score": anchored(F.greatest(F.coalesce(F.array_max(F.transform(found, lambda d: d["score"])), F.lit(0.0)), F.when(F.size("__s_b") > 0, F.lit(0.9)).otherwise(F.lit(0.0)))),
         }
     ).drop("__s_t", "__s_p", "__s_h", "__s_b")
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, spaced_words, table, whole_text
+from weftline.llm.common import SPACE, anchored, spaced_words, table, whole_text
 
 WINDOW = 8
 
@@ -124,6 +124,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "dup_line_ratio": share(F.col("n_dup_lines"), F.size(lines)),
         }
     )
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "mean_word_chars", "symbol_ratio", "upper_ratio", "letter_word_ratio", "dup_line_ratio")
+    steps = steps.withColumns({m: anchored(F.col(m)) for m in measures})
     return steps.drop(*(c for c in steps.columns if c.startswith("__q_")))
 
 

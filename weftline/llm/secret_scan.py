@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import trigrams
-from weftline.llm.common import spans, table, whole_text
+from weftline.llm.common import anchored, spans, table, whole_text
 
 SPAN = "array<struct<start:int,kind:string,end:int>>"
 
@@ -165,7 +165,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", in
     order = F.array(*(F.lit(r.kind) for r in index.rules))
     every = F.transform(F.concat("__k_all", *checked), lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("o"), s["end"], s["kind"].alias("kind")))
     out = F.transform(F.sort_array(every), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return rows.withColumn("secrets", out).drop("__k_id", "__k_hash", "__k_all", "__k_v", "__c_id", "__c_hash", "__c_kinds")
+    return rows.withColumn("secrets", anchored(out)).drop("__k_id", "__k_hash", "__k_all", "__k_v", "__c_id", "__c_hash", "__c_kinds")
 
 
 def listed(found: Column) -> Column:
