@@ -21,6 +21,6 @@ def parse_stream(pages: DataFrame, out: str, checkpoint: str, site: Site | None
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) per tumbling window; `events` (ts, event_type, value) may be a stream or a table."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     g = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
