@@ -20,11 +20,13 @@ extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
 import pickle
 import re
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,8 @@ END_ID, START_ID, VOCABULARY_SIZE = 50_256, 50_257, 50_258
 #: A run without white space longer than this is tokenized in pieces, as merging is slow on long runs.
 LONGEST_RUN = 20_000
 #: Distinct words that a task holds before it hands its counts on.
-HELD_WORDS = 400_000
-BATCH = 2048
+HELD_WORDS = 150_000
+BATCH = 1024
 
 
 def held_out(doc_id: Column) -> Column:
@@ -166,41 +168,36 @@ def apply(docs: DataFrame, model, frequent, path: str) -> DataFrame:
     def score(batches):
         enc, m, values = encoder(path), pickle.loads(model.value), frequent.value
         first, rows, sums = TaskContext.get().partitionId() << 40, [], np.zeros(0)
-        rare: list[tuple[int, int, int]] = []
+        owners, hashes, times = [], [], []  # of the words that are looked up by a join
 
         def add(x, y, scored, which):
             np.add.at(sums, which, m.log10(x, y, scored))
 
         def tell():
-            nonlocal rows, rare, first
+            nonlocal rows, first, owners, hashes, times
             queue.flush()
             n, none = len(rows), [None] * len(rows)
             if n:
                 yield _arrow([*zip(*rows, strict=True), sums[:n], none, none], _SCORED)
-            for k in range(0, len(rare), 100_000):
-                part = rare[k : k + 100_000]
-                gap = [None] * len(part)
-                r, h, c = zip(*part, strict=True)
-                yield _arrow([r, gap, gap, gap, gap, gap, np.array(h, dtype=np.uint64).view(np.int64), c], _SCORED)
-            first, rows, rare = first + n, [], []
+            for k in range(0, len(owners), 100_000):
+                r, h, c = (np.array(x[k : k + 100_000], dtype=np.uint64).view(np.int64) for x in (owners, hashes, times))
+                gaps = (pa.nulls(len(r), f.type) for f in list(_SCORED)[1:6])
+                yield pa.RecordBatch.from_arrays([pa.array(r), *gaps, pa.array(h), pa.array(c)], schema=_SCORED)
+            first, rows, owners, hashes, times = first + n, [], [], [], []
 
         queue = _Windows(add)
         for doc_id, text in _rows(batches):
             if not rows:
                 sums = np.zeros(1000)
-            rid, found = first + len(rows), Counter(words(text))
-            base, known, total = 0.0, 0, 0
-            for w, c in found.items():
-                total += c
-                v = values.get(w)
-                if v is None:
-                    rare.append((rid, xxhash.xxh64_intdigest(w, 42), c))
-                else:
-                    base += c * v
-                    known += c
+            rid, ws = first + len(rows), words(text)
+            found = list(map(values.get, ws))
+            others = Counter(w for w, v in zip(ws, found, strict=True) if v is None)
+            owners += [rid] * len(others)
+            hashes += map(xxhash.xxh64_intdigest, others, repeat(42))
+            times += others.values()
             queue.add(len(rows), _ids(enc, text))
-            rows.append((rid, doc_id, total, known, base))
-            if len(rows) == 1000:
+            rows.append((rid, doc_id, len(ws), len(ws) - others.total(), math.fsum(v for v in found if v is not None)))
+            if len(rows) == 1000 or len(owners) >= 200_000:
                 yield from tell()
         yield from tell()
 
