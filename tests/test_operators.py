@@ -174,3 +174,13 @@ def test_first_writes_and_stub(spark):
     assert 'url=/a?&quot;&amp;"' in spark.range(1).select(responses.stub_page(F.lit('/a?"&')).alias("x")).first().x
 
 
+
+
+def test_text_files(spark):
+    files = spark.createDataFrame([("a.css", "p{background:url( '/i.png' )} @import \"/b.css\"; x{y:url(data:1)}"), ("b.js", "var a='/wp-content/x.js', b=\"/cdn-cgi/y\\\\\";"), ("c.html", "http://192.168.1.9:80/ http://localhost/ https://ok.test/ http://nas.local/")], "file string, text string")
+    assert {r.ref for r in graph.css_refs(files).collect()} == {"/i.png", "/b.css"}
+    assert {r.ref for r in graph.script_refs(files).collect()} == {"/wp-content/x.js", "/cdn-cgi/y"}
+    assert {r.url for r in graph.private_urls(files, ("nas.local",)).collect()} == {"http://192.168.1.9:80", "http://localhost"}
+    assert graph.leftovers(files, "new.test", "ok.test").first().n == 1
+    paths = spark.createDataFrame([("wp-json",), ("a/wp-login.php",), ("index.html",)], "path string")
+    assert graph.dynamic_files(paths).count() == 2 and graph.has_homepage(paths).first()[0]

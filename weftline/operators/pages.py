@@ -26,10 +26,11 @@ PARSED = ", ".join(
     [*(f"{n} string" for n in _TEXT), *(f"{n} boolean" for n in _FLAGS), "alternates map<string,string>", "links array<struct<pos:int,tag:string,attr:string,rel:string,ref:string,kind:string,dst:string>>"]
 )
 
+# Patterns of references in style text and refresh tags.
 _CSS_URL = re.compile(r"url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", re.I)
 _CSS_IMPORT = re.compile(r"@import\s+['\"]([^'\"]+)['\"]", re.I)
 _REFRESH = re.compile(r"url\s*=\s*(.+)", re.I)
-# Scripts schemes that navigate nowhere.
+# Schemes that navigate nowhere.
 NOWHERE = ("data:", "mailto:", "tel:", "javascript:", "#")
 
 
@@ -171,12 +172,18 @@ def strip_suffix(title: Column, suffix: str) -> Column:
     return F.when(title.endswith(suffix) & (F.length(title) > len(suffix)), F.rtrim(F.substring(title, F.lit(1), F.length(title) - len(suffix)))).otherwise(title)
 
 
+# What differs between two captures of one page, and what is put in its place, in order.
+NOISE = (
+    (r"(?s)<!--.*?-->", ""),
+    (r"""(?i)(_wpnonce|nonce|csrf[\w-]*|token)(["']?\s*[:=]\s*["'])[A-Za-z0-9+/=._-]{6,}(["'])""", "$1$2$3"),
+    (r"""(?i)(name=["']_wpnonce["']\s+value=["'])[^"']+""", "$1"),
+    (r"""(?i)[?&](?:ver|v|t|cache|nocache)=[^\s"'&<>]+""", ""),
+)
+
+
 def noise_free(html: Column, extra: tuple[tuple[str, str], ...] = ()) -> Column:
     """HTML without comments, nonces, version queries and spare white space, for comparing two captures."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"""(?i)(_wpnonce|nonce|csrf[\w-]*|token)(["']?\s*[:=]\s*["'])[A-Za-z0-9+/=._-]{6,}(["'])""", "$1$2$3")
-    out = F.regexp_replace(out, r"""(?i)(name=["']_wpnonce["']\s+value=["'])[^"']+""", "$1")
-    out = F.regexp_replace(out, r"""(?i)[?&](?:ver|v|t|cache|nocache)=[^\s"'&<>]+""", "")
-    for pattern, to in extra:
+    out = html
+    for pattern, to in (*NOISE, *extra):
         out = F.regexp_replace(out, pattern, to)
     return F.trim(F.regexp_replace(out, r"\s+", " "))
