@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,18 +86,21 @@ class Index:
         return out
 
     def satisfied(self, lanes: list[Column]) -> Column:
-        """Kinds whose query the bit words satisfy."""
-        kinds = []
-        for r in self.indexed:
-            ok = F.lit(False)
-            for clause in self.queries[r.kind]:
-                every = F.lit(True)
-                for lane, m in zip(lanes, self.masks(clause), strict=True):
-                    if m:
-                        every = every & (lane.bitwiseAND(F.lit(m)) == m)
-                ok = ok | every
-            kinds.append(F.when(ok, F.lit(r.kind)))
-        return F.array_compact(F.array(*kinds)) if kinds else F.array().cast("array<string>")
+        """Kinds whose query the bit words satisfy. The queries are data, so the plan stays small however many there are."""
+        data = [{"kind": r.kind, "clauses": [self.masks(c) for c in self.queries[r.kind]]} for r in self.indexed]
+        queries = F.from_json(F.lit(json.dumps(data)), "array<struct<kind:string,clauses:array<array<bigint>>>>")
+
+        def met(c: Column) -> Column:
+            return reduce(and_, (lane.bitwiseAND(F.get(c, F.lit(k))) == F.get(c, F.lit(k)) for k, lane in enumerate(lanes)))
+
+        return F.transform(F.filter(queries, lambda q: F.exists(q["clauses"], met)), lambda q: q["kind"])
+
+    def satisfiable(self, terms: Column) -> Column:
+        """Whether the trigrams of a text complete any query."""
+        data = [sorted(c) for r in self.indexed for c in self.queries[r.kind]]
+        clauses = F.from_json(F.lit(json.dumps(data)), "array<array<string>>")
+        bound = F.transform(F.array(terms), lambda have: F.exists(clauses, lambda c: F.forall(c, lambda t: F.array_contains(have, t))))
+        return F.get(bound, F.lit(0))
 
     def posted(self, text: Column) -> Column:
         """The indexed trigrams of a text."""
@@ -153,11 +158,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", in
     scanned = [F.when(_maybe(r, t), _found(r, t)).otherwise(none) for r in index.scanned]
     rows = rows.withColumn("__k_all", F.concat(*scanned) if scanned else none)
     rows = rows.withColumn("__k_terms", index.posted(t))
-    ships = F.lit(False)
-    for r in index.indexed:
-        for clause in index.queries[r.kind]:
-            ships = ships | F.forall(F.array(*map(F.lit, sorted(clause))), lambda c: F.array_contains("__k_terms", c))
-    rows = rows.withColumn("__k_v", F.when(ships, t)).drop("__k_terms", "__k_t")
+    rows = rows.withColumn("__k_v", F.when(index.satisfiable(F.col("__k_terms")), t)).drop("__k_terms", "__k_t")
     hit = found.select(F.col("__k_id").alias("__c_id"), F.col("__k_hash").alias("__c_hash"), F.col("kinds").alias("__c_kinds"))
     rows = rows.join(hit, F.col("__k_id").eqNullSafe(F.col("__c_id")) & (F.col("__k_hash") == F.col("__c_hash")), "left")
     v = F.col("__k_v")
