@@ -210,7 +210,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
     sc = spark.sparkContext
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     train = rows.where(~held_out(F.col("doc_id")))
-    sample = train.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()
+    # ids first: a top list of whole texts would bring SAMPLE_DOCS texts of every task to the driver
+    ids = [r.doc_id for r in train.groupBy("doc_id").agg(F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
+    sample = train.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     enc = encoder(path)
     model = lm.fit([_ids(enc, r.text or "") for r in sample], VOCABULARY_SIZE, START_ID)
 
