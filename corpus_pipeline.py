@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, packing, quality, secret_scan, simhash
+from weftline.llm import decontam, near_copies, packing, quality, secret_scan
 from weftline.llm.common import cut, keep_where, table, whole_text
 
 
@@ -30,8 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.deduplicate(docs).select(docs.columns)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 at least."""
+    return near_copies.deduplicate(docs).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
-#: SQL can't express the fingerprint components and the packing.
+#: SQL can't express the components of near copies and the packing.
 ORACLE_SQL = None
 
 
