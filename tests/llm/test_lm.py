@@ -1,5 +1,6 @@
 import collections
 import math
+import pickle
 import zlib
 
 import numpy as np
@@ -70,3 +71,17 @@ def test_attention_helps_on_context():
     x, y, scored = lm.windows(texts[0], 82)
     per_id = m.log10(x, y, scored).sum() / scored.sum()
     assert per_id > math.log10(1 / 55)  # 1/80 without context, 1/40 with it
+
+
+def test_attention_is_trained_on_all_text(spark):
+    docs = [(i, f"text {i} of " + "some words and others " * (i % 7 + 1)) for i in range(90)]
+    path = lm_score.vocabulary_path()
+    enc = lm_score.encoder(path)
+    ids = [lm_score._ids(enc, t) for _, t in docs]
+    m = lm.fit(ids[:3], lm_score.VOCABULARY_SIZE, lm_score.START_ID)
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    gate, n = lm_score.trained_gate(lm_score.gather(rows, spark.sparkContext.broadcast(pickle.dumps(m)), path).cache(), m.g)
+    assert n == sum(map(len, ids))
+    assert not np.allclose(gate.flat(), m.g.flat())
+    x, y, scored = (np.concatenate(c) for c in zip(*(lm.windows(t, lm_score.START_ID) for t in ids), strict=True))
+    assert lm.Model(m.t, gate).log10(x, y, scored).sum() > m.log10(x, y, scored).sum()

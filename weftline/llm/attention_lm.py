@@ -13,8 +13,9 @@ the vocabulary: scoring an id reads one row of P.
 Windows of WIDTH ids overlap: each id is scored once, and all windows of a batch
 are one masked product.
 
-`fit` starts the tables and fits the attention on a bounded sample; `expected`
-returns the statistics from which `Tables.build` makes A and P over all text.
+`fit` starts the tables and the attention on a bounded sample; over all text,
+`expected` returns the statistics from which `Tables.build` makes A and P, and
+`step` trains the attention further.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ HEAD = WIDTH - STEP
 #: Weight of the corpus-wide distribution in each component, and of a uniform one in that.
 SMOOTH = 20.0
 FLOOR = 0.1
+#: Rate of the attention's steps.
+RATE = 0.05
 
 
 @dataclass
@@ -48,6 +51,14 @@ class Gate:
         f = np.float32
         return cls((0.3 * rng.standard_normal((K, DIM))).astype(f), (0.3 * rng.standard_normal((K, DIM))).astype(f), (0.1 * np.eye(K)).astype(f), np.zeros(WIDTH, f))
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.q, self.k, self.v, self.near)])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Gate:
+        q, k, v, near = np.split(np.asarray(flat, np.float32), np.cumsum([K * DIM, K * DIM, K * K]))
+        return cls(q.reshape(K, DIM), k.reshape(K, DIM), v.reshape(K, K), near)
+
 
 @dataclass
 class Tables:
@@ -95,6 +106,7 @@ _MASK = np.where(_DISTANCE >= 0, np.float32(0), np.float32(-1e9))
 class Model:
     def __init__(self, tables: Tables, gate: Gate):
         self.t, self.g = tables, gate
+        self.state = getattr(self, "state", {})  # of Adagrad
         # what is read at the same places lies side by side
         self.of_query = np.concatenate([tables.e @ gate.q / np.float32(np.sqrt(DIM)), tables.log_a], axis=1)
         self.of_key = np.concatenate([tables.e @ gate.k, tables.e @ gate.v], axis=1)
@@ -197,5 +209,6 @@ def fit(texts: list[np.ndarray], vocabulary: int, start: int, rounds: int = 12,
         if r >= rounds // 2:
             for _ in range(2 * steps // rounds):
                 pick = rng.integers(0, len(x), 256)
-                model.step(x[pick], y[pick], scored[pick], 0.05, state)
+                model.step(x[pick], y[pick], scored[pick], RATE, state)
+    model.state = state
     return model

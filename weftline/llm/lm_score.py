@@ -1,9 +1,11 @@
 """Language-model scores of whole texts, with a unigram baseline.
 
 1. A bounded sample of training texts (`SAMPLE_DOCS`, the smallest hashes of
-   doc_id) fits the attention of `attention_lm` on the driver.
-2. One pass over all training texts counts words and gathers the expected
-   counts from which the model's tables, nearly all of its parameters, are made.
+   doc_id) starts the model of `attention_lm` on the driver.
+2. One pass over all training texts counts words, gathers the expected counts
+   from which the model's tables are made, and trains the attention: each task
+   steps on all its windows from the start, and the tasks' parameters are
+   averaged by the ids they were trained on. They depend on how rows are dealt.
 3. One pass over all texts scores them. Words whose share of the corpus is at
    least 1/FREQUENT (so at most FREQUENT of them) are looked up in the task;
    the others are joined with their counts by a 64-bit hash of the word, which
@@ -133,12 +135,20 @@ _SCORED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", p
 
 
 def gather(docs: DataFrame, model, path: str) -> DataFrame:
-    """Word counts (word, n) and expected counts (id, stats) of all rows of `docs` (doc_id, text), in parts."""
+    """Word counts (word, n), expected counts (id, stats) and trained attention times its ids (n, stats) of all rows of `docs` (doc_id, text), in parts."""
 
     def count(batches):
         enc, m, seen = encoder(path), pickle.loads(model.value), Counter()
         after, of = np.zeros((VOCABULARY_SIZE, lm.K)), np.zeros((VOCABULARY_SIZE, lm.K))
-        queue = _Windows(lambda x, y, scored, _: m.expected(x, y, scored, after, of))
+        trained = 0
+
+        def learn(x, y, scored, _):
+            nonlocal trained
+            m.expected(x, y, scored, after, of)
+            m.step(x, y, scored, lm.RATE, m.state)
+            trained += int(scored.sum())
+
+        queue = _Windows(learn)
 
         def tell():
             items = list(seen.items())
@@ -154,6 +164,8 @@ def gather(docs: DataFrame, model, path: str) -> DataFrame:
                 yield from tell()
         yield from tell()
         queue.flush()
+        if trained:
+            yield _arrow([[None], [trained], [None], [(m.g.flat().astype(np.float64) * trained).tolist()]], _GATHERED)
         used = np.nonzero(after.sum(1) + of.sum(1))[0]
         for k in range(0, len(used), 5000):
             at = used[k : k + 5000]
@@ -162,6 +174,16 @@ def gather(docs: DataFrame, model, path: str) -> DataFrame:
     return docs.mapInArrow(count, GATHERED)
 
 
+def trained_gate(gathered: DataFrame, start: lm.Gate) -> tuple[lm.Gate, int]:
+    """(attention averaged over the tasks, ids it was trained on); `start` where there are none."""
+    rows = gathered.where("word is null and id is null")
+    n = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not n:
+        return start, 0
+    sums = rows.select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
+    return lm.Gate.of(np.array([r.x for r in sums]) / n), n
+
+
 def apply(docs: DataFrame, model, frequent, path: str) -> DataFrame:
     """One row per document with its model score and what the frequent words give, and one per (document, other word)."""
 
@@ -221,7 +243,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
     stats = np.zeros((VOCABULARY_SIZE, 2 * lm.K))
     for r in gathered.where("id is not null").groupBy("id").agg(*sums).collect():  # as many rows as ids
         stats[r[0]] = r[1:]
-    model = lm.Model(lm.Tables.build(stats[:, : lm.K], stats[:, lm.K :]), model.g)
+    model = lm.Model(lm.Tables.build(stats[:, : lm.K], stats[:, lm.K :]), trained_gate(gathered, model.g)[0])
 
     counts = cut(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
