@@ -114,6 +114,13 @@ def test_crawl(spark):
     assert {r.url for r in exclusive_assets(edges, used, seeds).collect()} == {"a", "b", "d"}
 
 
+def test_crawl_follows_a_chain_of_over_a_hundred_hops(spark):
+    edges = spark.createDataFrame([(f"p{k}", f"p{k + 1}") for k in range(103)], "src string, dst string").coalesce(1).cache()
+    seeds = spark.createDataFrame([("p0", "sitemap")], "url string, source string")
+    assert {r.url: r["round"] for r in crawl(edges, seeds).collect()} == {f"p{k}": k for k in range(104)}
+    assert crawl(edges, seeds, max_rounds=2).count() == 3
+
+
 def test_cards_round_trip(spark):
     html = [f'<li class="post-{k}"><a href="/p{k}/">T{k}</a>{"<img src=x><b>i</b>" if k % 2 else ""}<span>by</span></li>' for k in range(4)]
     rows = spark.createDataFrame([("a", str(k), h) for k, h in enumerate(html)], "layout string, card string, html string")

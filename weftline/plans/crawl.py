@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,10 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_rounds: int = 100) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_rounds: int | None = None) -> DataFrame:
     """(url, round, source): what is reachable over edges (src, dst) from seeds (url, source).
 
+    Rounds go on until one finds nothing new, or for `max_rounds` where given.
     With `max_pages`, a round admits the first URLs in order until the cap is met.
     """
     frontier = seeds.select("url", F.lit(0).alias("round"), "source").dropDuplicates(["url"])
@@ -42,7 +44,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_
         frontier = frontier.orderBy("url").limit(max_pages)
     frontier = written(frontier)
     seen, n = frontier, frontier.count()
-    for k in range(1, max_rounds + 1):
+    for k in count(1) if max_rounds is None else range(1, max_rounds + 1):
         if max_pages is not None and n >= max_pages:
             break
         hops = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
