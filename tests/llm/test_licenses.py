@@ -44,6 +44,20 @@ def test_gate_lets_names_through(spark, text):
     assert licenses.detect(spark.createDataFrame([(text,)], "text string")).first().detections
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("do what the fuck you want to", "wtfpl"),
+        ("do what the fuck you\nwant to", "wtfpl"),
+        ("see http://www.wtfpl.net", "wtfpl"),
+        ("released in the public\ndomain", "public-domain"),
+        ("NCSA open\nsource license", "ncsa"),
+    ],
+)
+def test_keywords_are_in_wrapped_texts(spark, text, label):
+    assert label in {d.label for d in licenses.detect(spark.createDataFrame([(text,)], "text string")).first().detections}
+
+
 def test_every_rule_compiles_and_many(spark):
     rules = license_rules.rules()
     assert len(rules) > 200 and len({r["id"] for r in rules}) == len(rules)

@@ -44,7 +44,7 @@ SIGNATURES: tuple[tuple[str, str, str, str, str | None], ...] = (
     ("zlib", r"Zlib", r"zlib(?:/libpng)?\s+licen[cs]e", "zlib", r"zlib\.net/zlib_license"),
     ("libpng", r"libpng(?:-2\.0)?", r"libpng\s+licen[cs]e", "libpng", None),
     ("unlicense", r"Unlicense", r"the\s+unlicense", "unlicense", r"unlicense\.org"),
-    ("wtfpl", r"WTFPL", r"do\s+what\s+the\s+f\w+\s+you\s+want", "you want", r"wtfpl\.net"),
+    ("wtfpl", r"WTFPL", r"do\s+what\s+the\s+f\w+\s+you\s+want", "want", r"wtfpl\.net"),
     ("cc0", r"CC0-1\.0", r"CC0(?:\s+1\.0)?|creative\s+commons\s+zero", "c", r"creativecommons\.org/publicdomain/zero"),
     ("cc-by-nc-nd", r"CC-BY-NC-ND-\d\.\d", r"CC[ -]BY-NC-ND|attribution[- ]non-?commercial[- ]no-?deriv(?:ative)?s?", "n", r"creativecommons\.org/licenses/by-nc-nd"),
     ("cc-by-nc-sa", r"CC-BY-NC-SA-\d\.\d", r"CC[ -]BY-NC-SA|attribution[- ]non-?commercial[- ]share-?alike", "n", r"creativecommons\.org/licenses/by-nc-sa"),
@@ -55,7 +55,7 @@ SIGNATURES: tuple[tuple[str, str, str, str, str | None], ...] = (
     ("odbl", r"ODbL-1\.0", r"open\s+(?:data\s+commons\s+open\s+)?database\s+licen[cs]e", "database", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", r"ODC-By-1\.0", r"open\s+data\s+commons\s+attribution", "commons", r"opendatacommons\.org/licenses/by"),
     ("pddl", r"PDDL-1\.0", r"public\s+domain\s+dedication\s+and\s+licen[cs]e", "dedication", r"opendatacommons\.org/licenses/pddl"),
-    ("public-domain", r"LicenseRef-public-domain", r"(?:in|into|to)\s+the\s+public\s+domain|public\s+domain\s+work", "public domain", r"creativecommons\.org/publicdomain/mark"),
+    ("public-domain", r"LicenseRef-public-domain", r"(?:in|into|to)\s+the\s+public\s+domain|public\s+domain\s+work", "domain", r"creativecommons\.org/publicdomain/mark"),
     ("eupl", r"EUPL-1\.[0-2]", r"european\s+union\s+public\s+licen[cs]e", "european", r"joinup\.ec\.europa\.eu/[\w/-]*eupl"),
     ("ofl", r"OFL-1\.[01](?:-\w+)?", r"SIL\s+open\s+font\s+licen[cs]e", "font", r"scripts\.sil\.org/OFL"),
     ("postgresql", r"PostgreSQL", r"postgresql\s+licen[cs]e", "postgresql", r"opensource\.org/licenses/postgresql"),
@@ -64,7 +64,7 @@ SIGNATURES: tuple[tuple[str, str, str, str, str | None], ...] = (
     ("php", r"PHP-3\.0[01]?", rf"PHP\s+licen[cs]e(?:{V}3\.0[01]?)?", "php", r"php\.net/license"),
     ("w3c", r"W3C(?:-\d+)?", r"W3C\s+software\s+(?:notice|licen[cs]e)", "w3c", r"w3\.org/Consortium/Legal"),
     ("openssl", r"OpenSSL", r"openssl\s+licen[cs]e", "openssl", r"openssl\.org/source/license"),
-    ("ncsa", r"NCSA", r"(?:university\s+of\s+illinois|NCSA)\s+open\s+source\s+licen[cs]e", "open source", r"opensource\.org/licenses/ncsa"),
+    ("ncsa", r"NCSA", r"(?:university\s+of\s+illinois|NCSA)\s+open\s+source\s+licen[cs]e", "source", r"opensource\.org/licenses/ncsa"),
     ("ms-pl", r"MS-PL", r"microsoft\s+public\s+licen[cs]e", "microsoft", r"opensource\.org/licenses/ms-pl"),
     ("ms-rl", r"MS-RL", r"microsoft\s+reciprocal\s+licen[cs]e", "microsoft", r"opensource\.org/licenses/ms-rl"),
     ("sspl", r"SSPL-1\.0", r"server\s+side\s+public\s+licen[cs]e", "server", r"mongodb\.com/licensing/server-side-public-license"),
@@ -88,7 +88,7 @@ KEYWORDS = {"tag": "spdx-license-identifier", "address": "."}
 #: Lower-cased, a text without any of these holds none of the signatures.
 GATE = (
     "licen", "spdx", "copyleft", "domain", "cc0", "cc by", "cc-by", "commons", "attribution", "gpl", "mpl", "bsd", "apache", "gnu", "mulan",
-    "want", "w3c", ".org/", ".net/", ".com/", ".co/", ".cn/", ".eu/",
+    "want", "wtfpl", "w3c", ".org/", ".net/", ".com/", ".co/", ".cn/", ".eu/",
 )
 
 
