@@ -53,21 +53,26 @@ RULES = (
 )
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Ordered start positions of the windows that occur at least twice, given the sorted (window, position) pairs."""
-    dups = F.filter(
-        windows,
-        lambda x, k: F.coalesce(F.get(windows, k - 1)["w"] == x["w"], F.lit(False))
-        | F.coalesce(F.get(windows, k + 1)["w"] == x["w"], F.lit(False)),
-    )
-    return F.array_sort(F.transform(dups, lambda x: x["i"]))
+def _adjacent(pairs: Column, key: str) -> Column:
+    """Those of sorted `pairs` that have a neighbour of equal `key`."""
+    same = lambda x, other: F.coalesce(other[key] == x[key], F.lit(False))
+    return F.filter(pairs, lambda x, k: same(x, F.get(pairs, k - 1)) | same(x, F.get(pairs, k + 1)))
+
+
+def _confirmed(pairs: Column, words: Column) -> Column:
+    """Whether all neighbours of equal hash stand for equal windows of `words`."""
+    window = lambda x: F.slice(words, x["i"] + 1, WINDOW)
+    met = lambda x, before: F.coalesce(before["h"] != x["h"], F.lit(True)) | (window(before) == window(x))
+    return ~F.exists(F.transform(pairs, lambda x, k: met(x, F.get(pairs, k - 1))), lambda ok: ~ok)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the measures appended.
 
-    Windows are compared by 64-bit hashes first; only texts in which two hashes
-    are equal build the windows themselves, so the counts are exact.
+    Windows are compared by 64-bit hashes; those whose hash repeats are confirmed
+    by comparing neighbours of equal hash word by word. Only a text in which that
+    fails, as two different windows share a hash, has its windows built as
+    strings, so the counts are exact.
     """
     steps = docs.drop(*(c for c in docs.columns if c.startswith("__q_")))
     steps = steps.withColumn("__q_t", whole_text(text))
@@ -91,14 +96,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "__q_wh",
         F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))).otherwise(none),
     )
-    windows = F.sort_array(
-        F.transform(
-            F.sequence(F.lit(0), n - WINDOW),
-            lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, WINDOW)).alias("w"), i.alias("i")),
-        )
-    )
-    steps = steps.withColumn("__q_pairs", F.when(F.size(F.array_distinct("__q_wh")) < F.size("__q_wh"), windows))
-    steps = steps.withColumn("__q_at", _repeat_words(F.col("__q_pairs")))
+    hashed = F.sort_array(F.transform("__q_wh", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    steps = steps.withColumn("__q_pairs", F.when(F.size(F.array_distinct("__q_wh")) < F.size("__q_wh"), hashed))
+    steps = steps.withColumn("__q_dups", _adjacent(F.col("__q_pairs"), "h"))
+    dups = F.col("__q_dups")
+    windows = F.sort_array(F.transform(dups, lambda x: F.struct(F.concat_ws(" ", F.slice(words, x["i"] + 1, WINDOW)).alias("w"), x["i"].alias("i"))))
+    steps = steps.withColumn("__q_odd", F.when(~_confirmed(dups, words), windows))
+    places = lambda pairs: F.array_sort(F.transform(pairs, lambda x: x["i"]))
+    steps = steps.withColumn("__q_at", F.coalesce(places(_adjacent(F.col("__q_odd"), "w")), places(dups)))
     at = F.col("__q_at")
     covered = F.aggregate(F.transform(at, lambda p, k: F.coalesce(F.least(F.lit(WINDOW), F.get(at, k + 1) - p), F.lit(WINDOW))), F.lit(0), lambda a, x: a + x)
     t = F.col("__q_t")
