@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,9 +14,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: ASCII white space of the word rules, as a Java and RE2 character class body.
-SPACE = r"\x20\x09-\x0D"
-SPACES = f"[{SPACE}]+"
+#: ASCII white space of the word rules, in Java's patterns exactly this: blank, \t, \n, \x0B, \f, \r.
+SPACES = r"\s+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,17 +39,24 @@ def spaced_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, with a local master only, a temporary one where that is unset."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", got := f"file://{made}")
     return got.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -65,10 +72,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_cuts(spark: SparkSession) -> None:
-    """Delete what `cut` has written into the shared folder; call it when results are stored."""
+    """Delete what `cut` has written for this application; call it when all results are stored."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    own = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
@@ -82,6 +89,21 @@ def spans(text: Column, pattern: Column) -> Column:
     """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("h"))
     parts = F.transform(parts, lambda x: F.struct(F.length(x["p"]).alias("gap"), x["h"].alias("hit")))
+    return F.get(F.transform(F.array(parts), _placed), F.lit(0))
+
+
+#: Arrays are appended to in blocks of so many, as each append copies what is there.
+BLOCK = 256
+
+
+def blocks(items: Column) -> Column:
+    """An array of arrays of at most BLOCK items."""
+    count = F.ceil(F.size(items) / BLOCK).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))).otherwise(F.array())
+
+
+def _placed(parts: Column) -> Column:
+    """Spans of (gap, hit) pieces; offsets within blocks first, then those of the blocks."""
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
@@ -91,7 +113,13 @@ def spans(text: Column, pattern: Column) -> Column:
             F.when(x["hit"].isNull(), a["out"]).otherwise(F.array_append(a["out"], found)).alias("out"),
         )
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda a: a["out"])
+    def join(a: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end"), s["text"].alias("text")))
+        return F.struct((a["at"] + x["at"]).alias("at"), F.array_append(a["out"], moved).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    each = F.transform(blocks(parts), lambda b: F.aggregate(b, zero, step))
+    return F.flatten(F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), join, lambda a: a["out"]))
 
 
 def anchored(value: Column) -> Column:

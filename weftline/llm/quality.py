@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, anchored, spaced_words, table, whole_text
+from weftline.llm.common import anchored, spaced_words, table, whole_text
 
 WINDOW = 8
 
@@ -79,7 +79,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     steps = steps.withColumns(
         {
             "__q_words": spaced_words(F.col("__q_t")),
-            "__q_lines": F.filter(F.split("__q_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")),
+            "__q_lines": F.filter(F.split("__q_t", "\n"), lambda x: x.rlike(r"\S")),
         }
     )
     words, lines = F.col("__q_words"), F.col("__q_lines")
@@ -116,7 +116,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "__q_upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
             "n_lines": F.size(lines).cast("long"),
             "n_stop_words": F.size(F.array_intersect(words, F.array(*map(F.lit, dict.fromkeys(STOP_WORDS))))).cast("long"),
-            "__q_lw": F.regexp_count(t, F.lit(rf"\p{{L}}[^{SPACE}]*")),
+            "__q_lw": F.regexp_count(t, F.lit(r"\p{L}\S*")),
         }
     )
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
