@@ -1,33 +1,30 @@
-"""A small causal self-attention language model in numpy, over subword ids.
+"""A small causal self-attention language model in numpy, over words of subword ids.
 
-The next id is drawn from a mixture of K distributions over the vocabulary,
+A word is a run of ids of which only the first is one that begins a word. It is
+drawn from a mixture of K components,
 
-    p(x | context) = sum_k g_k(context) P[x, k],
+    p(word | context) = sum_k g_k(context) S_k(word),   S_k(word) = prod of P[id, k] over its ids,
 
-and the gate g is a softmax over the log prior of the last id, log A[last, k],
-plus the output of causal self-attention over the ids of the context window.
-An id's embedding is its share of each component (a row of length K), so ids
-that the gate was never fitted on have one too. A mixture needs no softmax over
-the vocabulary: scoring an id reads one row of P.
+which sums to 1 over all words, as ids that begin a word also end the one
+before. The gate g is a softmax over the output of causal self-attention over
+the words of the context window. A word's embedding is the mean over its ids of
+their log odds by component, so words that were never seen have one too.
 
-Windows of WIDTH ids overlap: each id is scored once, and all windows of a batch
-are one masked product.
+Windows of WIDTH words overlap: each word is scored once, and all windows of a
+batch are one masked product.
 
-`fit` starts the tables and the attention on a bounded sample; over all text,
-`expected` returns the statistics from which `Tables.build` makes A and P, and
-`step` trains the attention further.
+`fit` starts P and the attention on a bounded sample; over all text, `learn`
+adds the statistics from which `table` makes P, and trains the attention further.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
-K = 16
-DIM = 8
+K = 8
+DIM = 4
 WIDTH = 32
-#: A window scores its last STEP targets, the first one all of them: the least context is WIDTH - STEP + 1 ids.
+#: A window scores its last STEP words, the first one all of them: the least context is WIDTH - STEP words and the start.
 STEP = 24
 HEAD = WIDTH - STEP
 #: Weight of the corpus-wide distribution in each component, and of a uniform one in that.
@@ -35,180 +32,165 @@ SMOOTH = 20.0
 FLOOR = 0.1
 #: Rate of the attention's steps.
 RATE = 0.05
+#: Largest log odds of an embedding.
+ODDS = 4.0
+_F = np.float32
 
 
-@dataclass
-class Gate:
-    """Attention parameters: queries and keys (K x DIM), values (K x K), a bias per distance."""
-
-    q: np.ndarray
-    k: np.ndarray
-    v: np.ndarray
-    near: np.ndarray
-
-    @classmethod
-    def start(cls, rng: np.random.Generator) -> Gate:
-        f = np.float32
-        return cls((0.3 * rng.standard_normal((K, DIM))).astype(f), (0.3 * rng.standard_normal((K, DIM))).astype(f), (0.1 * np.eye(K)).astype(f), np.zeros(WIDTH, f))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.q, self.k, self.v, self.near)])
-
-    @classmethod
-    def of(cls, flat: np.ndarray) -> Gate:
-        q, k, v, near = np.split(np.asarray(flat, np.float32), np.cumsum([K * DIM, K * DIM, K * K]))
-        return cls(q.reshape(K, DIM), k.reshape(K, DIM), v.reshape(K, K), near)
-
-
-@dataclass
-class Tables:
-    """log A (vocabulary x K), P (vocabulary x K) and embeddings (vocabulary x K), in single precision."""
-
-    log_a: np.ndarray
-    p: np.ndarray
-    e: np.ndarray
-
-    @classmethod
-    def build(cls, after: np.ndarray, of: np.ndarray) -> Tables:
-        """From expected counts: after[x, k] of components drawn after x, of[x, k] of x drawn from component k."""
-        n = len(of)
-        total = of.sum(1)
-        base = (total + FLOOR) / (total.sum() + FLOOR * n)
-        p = (of + SMOOTH * K * base[:, None]) / (of.sum(0) + SMOOTH * K)
-        prior = (of.sum(0) + 1) / (of.sum() + K)
-        a = (after + 2 * prior) / (after.sum(1, keepdims=True) + 2)
-        e = (of + prior) / (total[:, None] + 1)
-        f = np.float32
-        return cls(np.log(a).astype(f), p.astype(f), e.astype(f))
+def table(of: np.ndarray) -> np.ndarray:
+    """log P (vocabulary x K) from expected counts of ids by component."""
+    base = (of.sum(1) + FLOOR) / (of.sum() + FLOOR * len(of))
+    return np.log((of + SMOOTH * K * base[:, None]) / (of.sum(0) + SMOOTH * K)).astype(_F)
 
 
-def windows(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, scored) of a text, one row a window; `start` stands before the first id.
+def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scored) of the windows of a text of n words: places index the text with its start before it, so place 0 is the start.
 
-    Window w predicts targets w*STEP .. w*STEP+WIDTH-1; all are scored in the
-    first window, the last STEP in the others. Rows are padded with `start`.
+    Window w predicts words w*STEP .. w*STEP+WIDTH-1; all are scored in the
+    first window, the last STEP in the others. A place past the end is n.
     """
-    n = len(ids)
     m = 1 + max(0, -(-(n - WIDTH) // STEP))
-    flat = np.full((m - 1) * STEP + WIDTH + 1, start, dtype=np.int32)
-    flat[1 : n + 1] = ids
-    rows = np.lib.stride_tricks.sliding_window_view(flat, WIDTH + 1)[::STEP]
-    scored = np.ones((m, WIDTH), dtype=bool)
+    places = np.arange(m)[:, None] * STEP + np.arange(WIDTH)
+    scored = places < n
     scored[1:, :HEAD] = False
-    scored[-1, n - (m - 1) * STEP :] = False
-    return rows[:, :-1], rows[:, 1:], scored
+    return np.minimum(places, n), scored
+
+
+def many_windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`windows` of texts that lie one after another, each with a start before it."""
+    counts = 1 + np.maximum(0, -(-(sizes - WIDTH) // STEP))
+    begin = np.cumsum(sizes + 1) - (sizes + 1)
+    which = np.repeat(np.arange(len(sizes)), counts)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    places = turn[:, None] * STEP + np.arange(WIDTH)
+    scored = places < sizes[which, None]
+    scored[turn > 0, :HEAD] = False
+    return np.minimum(places, sizes[which, None]) + begin[which, None], scored
 
 
 _DISTANCE = np.arange(WIDTH)[:, None] - np.arange(WIDTH)
-_MASK = np.where(_DISTANCE >= 0, np.float32(0), np.float32(-1e9))
+_MASK = np.where(_DISTANCE >= 0, _F(0), _F(-1e9))
+_PARTS = (("q", (K, DIM)), ("k", (K, DIM)), ("v", (K, K)), ("near", (WIDTH,)), ("bias", (K,)))
 
 
 class Model:
-    def __init__(self, tables: Tables, gate: Gate):
-        self.t, self.g = tables, gate
-        self.state = getattr(self, "state", {})  # of Adagrad
-        # what is read at the same places lies side by side
-        self.of_query = np.concatenate([tables.e @ gate.q / np.float32(np.sqrt(DIM)), tables.log_a], axis=1)
-        self.of_key = np.concatenate([tables.e @ gate.k, tables.e @ gate.v], axis=1)
-        self.bias = _MASK + gate.near[np.maximum(_DISTANCE, 0)]
-
-    def _weights(self, queries: np.ndarray, keys: np.ndarray, first: int) -> np.ndarray:
-        s = np.matmul(queries, keys.transpose(0, 2, 1))
-        s += self.bias[first:]
-        np.exp(s, out=s)  # scores are small: embeddings are shares
+    """log P, and the attention: queries and keys (K x DIM), values (K x K), a bias by distance and one by component."""
+
+    def __init__(self, log_p: np.ndarray, gate: dict[str, np.ndarray], state: dict | None = None):
+        self.log_p, self.gate, self.state = log_p, gate, state or {}  # state: of Adagrad
+        self.odds = np.clip(log_p - log_p.mean(1, keepdims=True), -ODDS, ODDS)
+
+    @staticmethod
+    def start(rng: np.random.Generator) -> dict[str, np.ndarray]:
+        small = lambda shape: (0.1 * rng.standard_normal(shape)).astype(_F)
+        return {"q": small((K, DIM)), "k": small((K, DIM)), "v": np.eye(K, dtype=_F) * 3, "near": np.zeros(WIDTH, _F), "bias": np.zeros(K, _F)}
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.gate[name].ravel() for name, _ in _PARTS]).astype(np.float64)
+
+    @staticmethod
+    def gate_of(flat: np.ndarray) -> dict[str, np.ndarray]:
+        parts = np.split(np.asarray(flat, _F), np.cumsum([int(np.prod(shape)) for _, shape in _PARTS])[:-1])
+        return {name: part.reshape(shape) for (name, shape), part in zip(_PARTS, parts, strict=True)}
+
+    def words(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(embeddings, log S) of words; `begin` are the places in `ids` at which they begin."""
+        sizes = np.diff(begin, append=len(ids))[:, None]
+        return np.add.reduceat(self.odds[ids], begin, axis=0) / sizes.astype(_F), np.add.reduceat(self.log_p[ids], begin, axis=0)
+
+    def _attention(self, e: np.ndarray, first: int) -> np.ndarray:
+        g = self.gate
+        s = np.matmul((e[:, first:] @ g["q"]) * _F(1 / np.sqrt(DIM)), (e @ g["k"]).transpose(0, 2, 1))
+        s += (_MASK + g["near"][np.maximum(_DISTANCE, 0)])[first:]
+        s -= s.max(-1, keepdims=True)
+        np.exp(s, out=s)
         s *= 1 / s.sum(-1, keepdims=True)
         return s
 
-    def attend(self, x: np.ndarray, first: int = 0) -> np.ndarray:
-        """Attention weights of the positions from `first` on over all of each window."""
-        return self._weights(self.of_query[x[:, first:], :DIM], self.of_key[x, :DIM], first)
-
-    def gates(self, x: np.ndarray, first: int = 0) -> np.ndarray:
-        """Gate of each position from `first` on, not normalized."""
-        query, key = self.of_query[x[:, first:]], self.of_key[x]
-        z = np.matmul(self._weights(query[..., :DIM], key[..., :DIM], first), key[..., DIM:])
-        z += query[..., DIM:]
-        np.exp(z, out=z)  # priors are smoothed, so no row can vanish
+    def gates(self, e: np.ndarray, first: int = 0) -> np.ndarray:
+        """Gate of each place from `first` on, given the embeddings of windows (n x WIDTH x K)."""
+        z = np.matmul(self._attention(e, first), e @ self.gate["v"])
+        z += self.gate["bias"]
+        z -= z.max(-1, keepdims=True)
+        np.exp(z, out=z)
+        z *= 1 / z.sum(-1, keepdims=True)
         return z
 
-    def _each(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray):
-        """(last ids, targets, joint K-vectors) of the scored positions; first and later windows apart."""
+    def scored_gates(self, e: np.ndarray, places: np.ndarray, scored: np.ndarray, batch: int = 1024) -> np.ndarray:
+        """Gates of all scored places in order of row and place; `e` is what `places` index."""
+        out = np.empty((int(scored.sum()), K), _F)
+        at = np.cumsum(scored.ravel()).reshape(scored.shape) - 1
         whole = scored[:, 0]
-        for rows, first in ((whole, 0), (~whole, HEAD)):
-            if rows.any():
-                keep = scored[rows][:, first:]
-                joint = self.gates(x[rows], first)[keep]
-                joint *= 1 / joint.sum(-1, keepdims=True)
-                target = y[rows][:, first:][keep]
-                joint *= self.t.p[target]
-                yield rows, first, keep, x[rows][:, first:][keep], target, joint
-
-    def log10(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """Sum of log10 probabilities of each window's scored targets."""
-        out = np.zeros(len(x))
-        for rows, _, keep, _, _, joint in self._each(x, y, scored):
-            at = np.nonzero(keep)[0]
-            out[rows] = np.bincount(at, np.log10(joint.sum(-1), dtype=np.float64), minlength=int(rows.sum()))
+        for rows, first in ((np.nonzero(whole)[0], 0), (np.nonzero(~whole)[0], HEAD)):
+            for k in range(0, len(rows), batch):
+                some = rows[k : k + batch]
+                keep = scored[some, first:]
+                out[at[some, first:][keep]] = self.gates(e[places[some]], first)[keep]
         return out
 
-    def expected(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, after: np.ndarray, of: np.ndarray) -> float:
-        """Add the expected counts of the scored positions to `after` and `of` (vocabulary x K); the log-likelihood."""
-        total = 0.0
-        for *_, last, target, joint in self._each(x, y, scored):
-            mass = joint.sum(-1, keepdims=True)
-            total += float(np.log(mass, dtype=np.float64).sum())
-            joint /= mass
-            for ids, into in ((last, after), (target, of)):
-                order = np.argsort(ids.astype(np.uint16), kind="stable")
-                ids = ids[order]
-                at = np.nonzero(np.diff(ids, prepend=-1))[0]
-                into[ids[at]] += np.add.reduceat(joint[order], at, axis=0)
-        return total
-
-    def step(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, rate: float, state: dict) -> None:
-        """One Adagrad step of the gate on a batch of windows."""
-        t, g = self.t, self.g
-        e = t.e[x]
-        att = self.attend(x)
-        mixed = np.matmul(att, e)  # attention over embeddings, before the values
-        z = mixed @ g.v + t.log_a[x]
+    def learn(self, e: np.ndarray, likely: np.ndarray, scored: np.ndarray, rate: float = RATE) -> np.ndarray:
+        """One Adagrad step of the attention on windows (`e` and exp(log S - max), n x WIDTH x K); the posterior of each scored word."""
+        g = self.gate
+        att = self._attention(e, 0)
+        mixed = np.matmul(att, e)
+        z = mixed @ g["v"]
+        z += g["bias"]
         z -= z.max(-1, keepdims=True)
-        gate = np.exp(z)
-        gate /= gate.sum(-1, keepdims=True)
-        joint = gate * t.p[y]
-        joint /= joint.sum(-1, keepdims=True)
-        d = (joint - gate) * scored[..., None] / max(1, scored.sum())  # gradient of the log-likelihood by z
-        grads = {"v": np.einsum("blk,blm->km", mixed, d)}
-        da = np.matmul(d @ g.v.T, e.transpose(0, 2, 1))
-        ds = att * (da - (att * da).sum(-1, keepdims=True))
-        grads["near"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), (ds.sum(0) * (_DISTANCE >= 0)).ravel(), WIDTH)
-        scale = 1 / np.sqrt(DIM)
-        grads["q"] = np.einsum("blk,bld->kd", e, np.matmul(ds, e @ g.k)) * scale
-        grads["k"] = np.einsum("bmk,bmd->kd", e, np.matmul(ds.transpose(0, 2, 1), e @ g.q)) * scale
-        for name, grad in grads.items():
-            state[name] = state.get(name, 1e-8) + grad**2
-            setattr(g, name, (getattr(g, name) + rate * grad / np.sqrt(state[name])).astype(np.float32))
-        self.__init__(t, g)
-
-
-def fit(texts: list[np.ndarray], vocabulary: int, start: int, rounds: int = 12, steps: int = 150, seed: int = 7) -> Model:
-    """Tables and gate from sample texts (arrays of ids)."""
+        np.exp(z, out=z)
+        z *= 1 / z.sum(-1, keepdims=True)
+        joint = z * likely
+        joint *= 1 / joint.sum(-1, keepdims=True)
+        posterior = joint[scored]
+        if rate:
+            joint -= z
+            joint *= scored[..., None] * _F(1 / max(1, len(posterior)))  # gradient of the log-likelihood by the gate's input
+            flat = joint.reshape(-1, K)
+            grads = {"bias": flat.sum(0), "v": mixed.reshape(-1, K).T @ flat}
+            d = np.matmul(joint @ g["v"].T, e.transpose(0, 2, 1))
+            d -= (att * d).sum(-1, keepdims=True)
+            d *= att
+            grads["near"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), (d.sum(0) * (_DISTANCE >= 0)).ravel(), WIDTH)
+            flat = e.reshape(-1, K).T * _F(1 / np.sqrt(DIM))
+            grads["q"] = flat @ np.matmul(d, e @ g["k"]).reshape(-1, DIM)
+            grads["k"] = flat @ np.matmul(d.transpose(0, 2, 1), e @ g["q"]).reshape(-1, DIM)
+            for name, grad in grads.items():
+                self.state[name] = self.state.get(name, 1e-8) + grad**2
+                g[name] = (g[name] + rate * grad / np.sqrt(self.state[name])).astype(_F)
+        return posterior
+
+
+def fit(texts: list[np.ndarray], vocabulary: int, start: int, begins: np.ndarray, rounds: int = 20, steps: int = 200, seed: int = 7) -> Model:
+    """P and the attention from sample texts (arrays of ids); `begins` marks the ids that begin a word.
+
+    P is that of a mixture of whole texts, so its components are languages or
+    kinds of text; the attention then learns to tell them from the context.
+    """
     rng = np.random.default_rng(seed)
-    parts = [windows(t, start) for t in texts if len(t)] or [windows(np.array([start]), start)]
-    x, y, scored = (np.concatenate(c) for c in zip(*parts, strict=True))
-    of = rng.gamma(1.0, size=(vocabulary, K)) * np.bincount(y[scored], minlength=vocabulary)[:, None]
-    after = rng.gamma(1.0, size=(vocabulary, K)) * np.bincount(x[scored], minlength=vocabulary)[:, None]
-    model, state = Model(Tables.build(after, of), Gate.start(rng)), {}
-    model.g.v *= 0
-    model = Model(model.t, model.g)
+    texts = [t for t in texts if len(t)] or [np.array([start])]
+    sizes = np.array([len(t) for t in texts])
+    ids, of_text = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+    share = rng.dirichlet(np.ones(K), len(texts))
     for r in range(rounds):
-        after, of = np.zeros((vocabulary, K)), np.zeros((vocabulary, K))
-        for k in range(0, len(x), 4096):
-            model.expected(x[k : k + 4096], y[k : k + 4096], scored[k : k + 4096], after, of)
-        model = Model(Tables.build(after, of), model.g)
-        if r >= rounds // 2:
-            for _ in range(2 * steps // rounds):
-                pick = rng.integers(0, len(x), 256)
-                model.step(x[pick], y[pick], scored[pick], RATE, state)
-    model.state = state
+        of = np.stack([np.bincount(ids, share[of_text, k], minlength=vocabulary) for k in range(K)], axis=1)
+        log_p = table(of)
+        prior = np.log(share.sum(0) + 1)
+        z = np.add.reduceat(log_p[ids].astype(np.float64), np.cumsum(sizes) - sizes, axis=0)
+        z = (z - z.max(1, keepdims=True)) * min(1.0, 0.02 + r / rounds) + prior  # softened at first
+        share = np.exp(z - z.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+    model = Model(log_p, Model.start(rng))
+    begin = np.nonzero(begins[ids])[0]
+    if not len(begin) or begin[0]:
+        begin = np.concatenate([[0], begin])
+    e, s = model.words(ids, begin)
+    e0 = model.odds[start][None]
+    counts = np.bincount(of_text[begin], minlength=len(texts))
+    parts = np.split(np.arange(len(begin)), np.cumsum(counts)[:-1])
+    embed = np.concatenate([x for p in parts for x in (e0, e[p])])
+    likely = np.concatenate([x for p in parts for x in (s[p], s[:1])])  # the word after each place
+    likely = np.exp(likely - likely.max(1, keepdims=True))
+    places, scored = many_windows(counts)
+    for _ in range(steps):
+        pick = rng.integers(0, len(places), 128)
+        model.learn(embed[places[pick]], likely[places[pick]], scored[pick])
     return model
