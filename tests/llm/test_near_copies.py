@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from weftline.llm import near_copies, simhash
@@ -46,7 +47,24 @@ def test_near_copies_beyond_three_bits_leave_the_pipeline(spark):
 def test_against_brute_force(spark, tile):
     docs = table(spark, "/root/testdata/sf0.01", "documents").where("length(text) < 2500")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert {r.doc_id for r in near_copies.deduplicate(docs, tile=tile).collect()} == brute(rows)
+    assert {r.doc_id for r in near_copies.deduplicate(docs, tile=tile, prints=tile // 4).collect()} == brute(rows)
+
+
+def test_radius_holds_pairs_at_the_least_similarity():
+    """Of 2,000 pairs of sets at a similarity of 0.8 at most a few lie beyond the radius."""
+    rng, missed = np.random.default_rng(4), 0
+    for k in range(2000):
+        n = 9 * int(rng.integers(3, 60))
+        x = rng.integers(0, 2**64, n + n // 9, np.uint64)
+        a, b = near_copies.wide_print(x[:n]), near_copies.wide_print(x[n // 9 :])
+        missed += len(near_copies.print_links(a[None], b[None])[0]) == 0
+    assert missed <= 10
+
+
+def test_rows_that_differ_in_other_columns(spark):
+    rows = [(1, "a b c d e f g", k) for k in range(20)]
+    got = [sorted(map(tuple, near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(n)).collect())) for n in (1, 7)]
+    assert len(got[0]) == 1 and got[0] == got[1]
 
 
 def test_edges(spark, odd_docs):

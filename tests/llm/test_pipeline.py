@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 cp = pytest.importorskip("corpus_pipeline")
 
-from weftline.llm import decontam, packing, quality, secret_scan, simhash  # noqa: E402
+from test_near_copies import brute  # noqa: E402
+
+from weftline.llm import decontam, packing, quality, secret_scan  # noqa: E402
 from weftline.llm.common import cut, table  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -27,21 +29,7 @@ def test_run_against_single_steps(spark):
     """The decisions of run() are those of the operators applied one by one, by plain Python."""
     docs = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
     good = {r.doc_id for r in quality.score_quality(table(spark, SF, "documents")).where("kept").collect()}
-    fps = {i: simhash.fingerprint(docs[i].text) for i in sorted(good)}
-    ids, left = list(fps), []
-    group = {i: i for i in ids}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for a in range(len(ids)):
-        for b in range(a):
-            if (fps[ids[a]] ^ fps[ids[b]]).bit_count() <= 3:
-                x, y = root(ids[a]), root(ids[b])
-                group[max(x, y)] = min(x, y)
-    left = [i for i in ids if root(i) == i]
+    left = sorted(brute([(i, docs[i].text) for i in good]))
     bad = {r.doc_id for r in decontam.contaminated(table(spark, SF, "documents").where(F.col("doc_id").isin(left)), table(spark, SF, "benchmark")).collect()}
     want = {}
     enc = packing.encoder(packing.vocabulary_path())

@@ -59,9 +59,14 @@ def test_long_path(spark):
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
-def test_deduplicate_keeps_one_of_each(spark, odd_docs):
-    rows = simhash.near_duplicates(odd_docs).collect()
-    kept = simhash.deduplicate(odd_docs).collect()
-    assert len(kept) == len({(r.component_id, r.fp if r.component_id is None else 0) for r in rows})
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({r.component_id for r in rows if r.component_id is not None})
-    assert simhash.deduplicate(odd_docs.where("doc_id > 99")).collect() == []
+def test_many_copies_and_bits_in_parts(spark, monkeypatch):
+    """Hot fingerprints take their own way; bits are counted in parts."""
+    text = " ".join(f"w{k}" for k in range(3000))
+    want = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "COUNTED", 100)
+    assert simhash.fingerprint(text) == want
+    docs = spark.createDataFrame([(k, "the same text again and again") for k in range(300)] + [(1000 + k, f"other {k} " * (k + 1)) for k in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "HOT", 10)
+    rows = simhash.near_duplicates(docs).collect()
+    fps = np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64)
+    assert len(rows) == 340 and [r.component_id for r in rows] == brute_components(fps, [r.doc_id for r in rows])

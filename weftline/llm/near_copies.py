@@ -1,22 +1,30 @@
-"""Near copies by the Jaccard similarity of word shingles, each link verified exactly.
-
-1. `sketches`: one pass over the texts; a text's minima under BANDS x ROWS hash
-   orders give one bucket a band. Equal word sequences are one node, so groups
-   of copies cost nothing.
-2. Nodes that share a bucket are joined into clusters of candidates, a star a
-   bucket, so a full bucket costs its size and not its square.
-3. `links`: only texts in a cluster are read again. Their shingle sets fall into
-   tiles by cluster and size; all pairs of a cluster whose sizes allow the
-   similarity are compared exactly, and each pair of tiles returns a spanning
-   forest of its links. Nothing is linked that wasn't compared.
+"""Near copies by the Jaccard similarity of word shingles: SimHash finds candidates, each link is verified exactly.
+
+The three bits of `simhash` are too few for a similarity of 0.8, at which a
+tenth to a fifth of all bits differ. So this is the same tiled comparison with
+fingerprints of 128 bits over the set of five-word shingles and a wider radius:
+
+1. `sketches`: one pass over the texts. Equal word sequences are one node, so
+   groups of copies cost nothing.
+2. `candidates`: nodes fall into classes of size, as sets whose sizes differ by
+   more than 5/4 can't be similar, and of population count; classes into tiles.
+   Pairs of tiles whose sizes or population counts are too far apart are never
+   built. Within a pair, exclusive or and bit counts; a spanning forest returns.
+3. `links`: only texts in a component of candidates are read again. Their shingle
+   sets fall into tiles by component and size; all pairs of a component whose
+   sizes allow the similarity are compared exactly, and each pair of tiles returns
+   a spanning forest of its links. Nothing is linked that wasn't compared.
 4. The components of the links are the groups of near copies.
 
-A pair at exactly the least similarity shares no bucket with probability
-(1 - 0.8^ROWS)^BANDS, about 1 in 10,000, and may still meet through others.
+Of two sets at exactly the least similarity a bit differs with probability
+arccos(8/9)/pi = 0.151, so 19.4 of 128 bits in the mean with a deviation of 4.1:
+RADIUS is three deviations further. Unrelated texts differ in 64 with a deviation
+of 5.7, so few of their pairs are candidates, and none is linked.
 
 Defined results: a null text counts as empty; texts without words are copies of
-each other; a text shorter than a shingle is one shingle; an empty table gives
-an empty table.
+each other; a text shorter than a shingle is one shingle; of rows that agree in
+doc_id and text the one with the smallest hash of all columns stays; an empty
+table gives an empty table; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -26,47 +34,107 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
-from weftline.llm.simhash import _forest, components
+from weftline.llm.simhash import BLOCK, _forest, components, majority
 
 SHINGLE = 5
-BANDS, ROWS = 30, 6
-#: Shingles of a tile.
-TILE = 65_536
-
-_RNG = np.random.default_rng(5)
-_FLIP = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
-_TIMES = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
-_CHUNK = 2048
+RADIUS = 32
+#: Fingerprints of a tile of candidates, shingles of a tile of sets, population counts of a class.
+PRINTS, TILE, COUNTS = 16_384, 65_536, 16
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
 
 
+def _runs(ws: list[bytes]):
+    return map(b" ".join, zip(*(ws[k:] for k in range(SHINGLE)))) if len(ws) >= SHINGLE else [b" ".join(ws)]
+
+
 def shingles(ws: list[bytes]) -> np.ndarray:
     """Distinct hashes of the runs of SHINGLE words, in order; a shorter text is one run."""
-    runs = map(b" ".join, zip(*(ws[k:] for k in range(SHINGLE)))) if len(ws) >= SHINGLE else [b" ".join(ws)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64, max(1, len(ws) - SHINGLE + 1)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _runs(ws), repeat(42)), np.uint64, max(1, len(ws) - SHINGLE + 1)))
 
 
-def buckets(found: np.ndarray) -> np.ndarray:
-    """One bucket a band of a set of shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(found), _CHUNK):
-        least = np.minimum(least, ((found[k : k + _CHUNK] ^ _FLIP) * _TIMES).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A second word of bits for each hash: multiply and shift, twice."""
+    for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(29))
+
+
+def wide_print(found: np.ndarray) -> np.ndarray:
+    """128 bits, as two words, of a set of shingles."""
+    return majority(np.stack([found, _mixed(found)], axis=1))
 
 
 def _sketch_batches(batches):
     for batch in batches:
-        texts = [words(t.as_py()) for t in batch.column(2)]
+        texts = [words(t.as_py()) for t in batch.column(3)]
         nodes = np.array([xxhash.xxh64_intdigest(b" ".join(ws)) for ws in texts], np.uint64).view(np.int64)
-        rows = [buckets(shingles(ws)).view(np.int64) for ws in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "carry", "node", "buckets"])
+        sets = [shingles(ws) for ws in texts]
+        prints = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+        columns = [*(batch.column(k) for k in range(3)), *map(pa.array, (nodes, [len(s) for s in sets], prints[:, 0], prints[:, 1]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "row", "node", "n", "f", "g"])
+
+
+def print_links(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i in a, j in b) that span the pairs of fingerprints (n x 2 words) within the radius, block by block."""
+    one, two = [], []
+    for k in range(0, len(a), BLOCK):
+        far = np.bitwise_count(a[k : k + BLOCK, None, 0] ^ b[None, :, 0])
+        far += np.bitwise_count(a[k : k + BLOCK, None, 1] ^ b[None, :, 1])
+        i, j = np.nonzero(far <= radius)
+        one.append(i + k)
+        two.append(j)
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _candidate_batches(batches):
+    for batch in batches:
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            (u, x), (v, y) = ((t["nodes"].values.to_numpy(zero_copy_only=False), np.stack([t[c].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("f", "g")], axis=1)) for t in (a, b))
+            i, j = print_links(x, y)
+            yield from _spanning(np.concatenate([u, v]), i, len(u) + j)
+
+
+def _spanning(nodes: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """A forest that spans the edges between the places i and j of `nodes`, which may repeat."""
+    known, place = np.unique(nodes, return_inverse=True)
+    label = _forest(place[i], place[j], len(known))
+    moved = np.nonzero(label != np.arange(len(known)))[0]
+    if len(moved):
+        yield pa.RecordBatch.from_arrays([pa.array(known[moved]), pa.array(known[label[moved]])], names=["u", "v"])
+
+
+def _size_class(n: Column) -> Column:
+    # sizes of similar sets differ by a factor of 5/4 at most; the factor here is a little less, so they are two classes apart at most
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.2499))).cast("int")
+
+
+def candidates(nodes: DataFrame, tile: int = PRINTS) -> DataFrame:
+    """(u, v): a forest that spans the pairs of `nodes` (node, n, f, g) within the radius; at most some hundred counts reach the driver."""
+    spark = nodes.sparkSession
+    count = F.bit_count("f") + F.bit_count("g")
+    rows = nodes.select("node", "f", "g", _size_class(F.col("n")).alias("s"), F.floor(count / COUNTS).cast("int").alias("p"))
+    counted = {(r.s, r.p): r["count"] for r in rows.groupBy("s", "p").count().collect()}
+    if not counted:
+        return spark.createDataFrame([], "u long, v long")
+    split = {k: -(-n // tile) for k, n in counted.items()}
+    table_ = spark.sql("select col1 as s, col2 as p, col3 as n from values " + ",".join(f"({s},{p},{n})" for (s, p), n in sorted(split.items())))
+    rows = rows.join(F.broadcast(table_), ["s", "p"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    tiles = cut(rows.groupBy("s", "p", "t").agg(F.collect_list(F.struct("node", "f", "g")).alias("x")).select("s", "p", "t", F.struct(F.col("x.node").alias("nodes"), F.col("x.f").alias("f"), F.col("x.g").alias("g")).alias("rows")), "prints")
+    # pairs of classes, each once, whose sizes and population counts allow a link
+    near = [(a, b) for a in sorted(split) for b in sorted(split) if a <= b and b[0] - a[0] <= 2 and (abs(a[1] - b[1]) - 1) * COUNTS < RADIUS]
+    pairs = spark.sql("select col1 as s1, col2 as p1, col3 as n1, col4 as s2, col5 as p2, col6 as n2 from values " + ",".join(f"({a[0]},{a[1]},{split[a]},{b[0]},{b[1]},{split[b]})" for a, b in near))
+    pairs = pairs.withColumn("t1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("t2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
+    pairs = pairs.where((F.col("s1") < F.col("s2")) | (F.col("p1") < F.col("p2")) | (F.col("t1") <= F.col("t2"))).select("s1", "p1", "t1", "s2", "p2", "t2")
+    side = lambda k, name: tiles.select(F.col("s").alias(f"s{k}"), F.col("p").alias(f"p{k}"), F.col("t").alias(f"t{k}"), F.col("rows").alias(name))
+    both = pairs.join(side(1, "a"), ["s1", "p1", "t1"]).join(side(2, "b"), ["s2", "p2", "t2"]).select("a", "b")
+    return both.repartition(8 * spark.sparkContext.defaultParallelism).mapInArrow(_candidate_batches, "u long, v long").distinct()
 
 
 def _set_batches(batches):
@@ -98,23 +166,17 @@ def _link_batches(batches):
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
             (u, x), (v, y) = (zip(*((r["node"].as_py(), r["shingles"].values.to_numpy(zero_copy_only=False)) for r in side), strict=True) for side in (a, b))
             i, j = similar(list(x), list(y))
-            nodes, place = np.unique(np.array(u + v, np.int64), return_inverse=True)
-            label = _forest(place[: len(u)][i], place[len(u) :][j], len(nodes))
-            moved = np.nonzero(label != np.arange(len(nodes)))[0]
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+            yield from _spanning(np.array(u + v, np.int64), i, len(u) + j)
 
 
 def links(texts: DataFrame, tile: int = TILE) -> DataFrame:
     """(u, v): a forest that spans the similar pairs within each cluster of `texts` (node, cluster, text)."""
     sets = cut(texts.select("node", "cluster", "text").mapInArrow(_set_batches, "node long, cluster long, n long, shingles array<long>"), "sets")
-    # sizes of similar sets differ by a factor of 5/4 at most, so by one class
-    sets = sets.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2499))).cast("int"))
+    sets = sets.withColumn("size", _size_class(F.col("n")))
     tiles_of = sets.groupBy("cluster", "size").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
     tiles = sets.join(tiles_of, ["cluster", "size"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     tiles = cut(tiles.groupBy("cluster", "size", "t").agg(F.collect_list(F.struct("node", "shingles")).alias("rows")), "tiles")
     one = tiles.select("cluster", F.col("size").alias("s1"), F.col("t").alias("t1"))
-    # two classes on, as the factor above is a little less than 5/4
     two = tiles.select("cluster", F.col("size").alias("s2"), F.col("t").alias("t2"))
     near = one.withColumn("s2", F.explode(F.sequence(F.col("s1"), F.col("s1") + 2))).join(two, ["cluster", "s2"])
     near = near.where((F.col("s1") < F.col("s2")) | (F.col("t1") <= F.col("t2")))
@@ -123,22 +185,20 @@ def links(texts: DataFrame, tile: int = TILE) -> DataFrame:
     return pairs.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(_link_batches, "u long, v long").distinct()
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """One row of `docs` for each group of near copies: that of the smallest doc_id (null last), of equal ones that of the smallest text hash."""
-    keyed = docs.withColumns({"__d_id": F.col(doc_id).cast("long"), "__d_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    rows = keyed.select("__d_id", "__d_h", F.col(text).alias("text"))
-    found = cut(rows.mapInArrow(_sketch_batches, "doc_id long, carry long, node long, buckets array<long>"), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "carry"))
-    nodes = cut(found.groupBy("node").agg(first.alias("f")), "nodes")
-    held = found.select("node", F.explode("buckets").alias("bucket"))
-    full = held.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
-    stars = held.join(full, "bucket").where("node > low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    clusters = components(stars.distinct())
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE, prints: int = PRINTS) -> DataFrame:
+    """One row of `docs` for each group of near copies: that of the smallest doc_id (null last), then the smallest hashes of the text and of all columns."""
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumns({"__d_id": F.col(doc_id).cast("long"), "__d_h": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "__d_r": F.xxhash64(*hashed)})
+    rows = keyed.select("__d_id", "__d_h", "__d_r", F.col(text).alias("text"))
+    found = cut(rows.mapInArrow(_sketch_batches, "doc_id long, hash long, row long, node long, n long, f long, g long"), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "hash", "row"))
+    nodes = cut(found.groupBy("node").agg(first.alias("k"), *(F.first(c).alias(c) for c in ("n", "f", "g"))), "nodes")
+    clusters = components(candidates(nodes.select("node", "n", "f", "g"), prints))
     clusters = clusters.select(F.col("u").alias("node"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
-    asked = clusters.join(nodes, "node").select("node", "cluster", F.col("f.doc_id").alias("k_id"), F.col("f.carry").alias("k_h"))
-    texts = rows.join(asked, F.col("__d_id").eqNullSafe(F.col("k_id")) & (F.col("__d_h") == F.col("k_h"))).dropDuplicates(["node"])
+    same = lambda k: F.col("__d_id").eqNullSafe(k["doc_id"]) & (F.col("__d_h") == k["hash"]) & (F.col("__d_r") == k["row"])
+    asked = clusters.join(nodes.select("node", "k"), "node")
+    texts = rows.join(asked, same(F.col("k"))).dropDuplicates(["node"])
     roots = components(links(texts, tile)).withColumnRenamed("u", "node")
-    one = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("f").alias("f"))
-    keep = one.select(F.col("f.doc_id").alias("__k_id"), F.col("f.carry").alias("__k_h"))
-    out = keyed.join(keep, F.col("__d_id").eqNullSafe(F.col("__k_id")) & (F.col("__d_h") == F.col("__k_h")), "left_semi")
-    return out.dropDuplicates(["__d_id", "__d_h"]).drop("__d_id", "__d_h")
+    keep = nodes.select("node", "k").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("k").alias("k")).select("k")
+    out = keyed.join(keep, same(F.col("k")), "left_semi")
+    return out.dropDuplicates(["__d_id", "__d_h", "__d_r"]).drop("__d_id", "__d_h", "__d_r")

@@ -8,11 +8,14 @@
    built; inside a pair only rows whose counts of the other 32 bits are within
    what is left of the radius are compared, by exclusive or and bit counts.
    A pair of tiles returns a spanning forest of its links (no link between
-   components is lost), so dense groups don't return all their pairs.
+   components is lost), so dense groups don't return all their pairs. A tile
+   travels once for each partner; up to TILE fingerprints of a group are one
+   tile, with some 25 partners, however many documents there are.
 4. `components`: alternating star contraction over the forest edges.
 
 The comparison is exact, and quadratic in the number of distinct fingerprints
-with a small factor: it visits about a tenth of all pairs.
+with a small factor: it visits about a tenth of all pairs. Wider fingerprints and
+radii, for a similarity of shingles, are in `near_copies`.
 
 Defined results: a null text counts as empty; a text without words has the
 fingerprint zero and is linked like any other; a null doc_id is never a
@@ -35,7 +38,13 @@ from weftline.llm.common import cut, table
 
 RADIUS = 3
 SHINGLE = 3
-TILE = 2048
+#: Fingerprints of a tile: half a megabyte, compared in blocks of BLOCK rows.
+TILE = 65_536
+BLOCK = 64
+#: Hashes whose bits are counted at once.
+COUNTED = 16_384
+#: A fingerprint of more than one in HOT documents is hot; there are fewer than HOT of these.
+HOT = 1000
 
 
 def fingerprint(text: str | None) -> int:
@@ -47,9 +56,15 @@ def fingerprint(text: str | None) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
     n = max(1, len(words) - SHINGLE + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)[:, None])[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the rows of `hashes` (n x words of 64 bits)."""
+    octets, ones = hashes.view(np.uint8).reshape(len(hashes), -1), 0
+    for k in range(0, len(octets), COUNTED):
+        ones = ones + np.unpackbits(octets[k : k + COUNTED], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
 def _fingerprint_batches(batches):
@@ -90,8 +105,8 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, spent: int, radius: int
         blo, bhi = np.searchsorted(pb, [count - left, count + left + 1])
         if blo >= bhi:
             continue
-        for k in range(lo, hi, 64):
-            near = np.bitwise_count(a[k : min(k + 64, hi), None] ^ b[None, blo:bhi]) <= radius
+        for k in range(lo, hi, BLOCK):
+            near = np.bitwise_count(a[k : min(k + BLOCK, hi), None] ^ b[None, blo:bhi]) <= radius
             i, j = np.nonzero(near)
             one.append(i + k)
             two.append(j + blo + (0 if same else len(a)))
@@ -171,27 +186,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, the document's own included."""
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, the document's own included.
+
+    Documents find their component by a join on the fingerprint; the fingerprints
+    of large groups of copies, fewer than HOT, are joined by broadcast instead.
+    """
     found = cut(fingerprints(docs, doc_id, text).drop("carry"), "fingerprints")
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct, radius, tile)).withColumnRenamed("u", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return found.join(rooted.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of `docs` for each component: that of the smallest doc_id (null last), of equal ones that of the smallest text hash."""
-    keyed = docs.withColumns({"__d_id": F.col(doc_id).cast("long"), "__d_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    prints = fingerprints(keyed, "__d_id", text, carry="__d_h")
-    found = cut(prints.select("doc_id", "carry", "fp"), "fingerprints")
-    roots = components(links(found.select("fp").distinct(), radius, tile)).withColumnRenamed("u", "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "carry"))
-    one = found.groupBy("fp").agg(first.alias("f"))  # copies collapse before the join
-    one = one.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("f").alias("f"))
-    keep = one.select(F.col("f.doc_id").alias("__k_id"), F.col("f.carry").alias("__k_h"))
-    out = keyed.join(keep, F.col("__d_id").eqNullSafe(F.col("__k_id")) & (F.col("__d_h") == F.col("__k_h")), "left_semi")
-    return out.dropDuplicates(["__d_id", "__d_h"]).drop("__d_id", "__d_h")
+    placed = cut(rooted.join(least, "root").select("fp", "n", "component_id"), "placed")
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = placed.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    marked = found.join(F.broadcast(hot), "fp", "left")
+    rest = marked.where("hot is null").select("doc_id", "fp").join(placed.where(F.col("n") * HOT <= total), "fp")
+    return marked.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
