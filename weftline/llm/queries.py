@@ -20,4 +20,5 @@ ORACLES = {
     "op7_warc": warc.OP7_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op10_decontaminate": decontam.OP10_SQL,
 }
