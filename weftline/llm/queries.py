@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLES = {
+    "op3_secret_scan": secret_scan.OP3_SQL,
     "op7_warc": warc.OP7_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,

@@ -1,16 +1,19 @@
 """Secret scans over a trigram inverted index.
 
 1. `trigrams.query` turns each rule's pattern into a Boolean query.
-2. `build_index` posts (trigram, row) for the trigrams that any query names;
-   no other trigram can affect an answer, so none is stored.
-3. `candidates` intersects the postings: a row's postings meet as bits of a
-   few 64-bit words (partial aggregation keeps one row per text and task), and a
-   rule is a candidate where one conjunction of its query is complete.
-4. `scan_secrets` verifies candidates with the patterns themselves. Rules
-   without mandatory trigrams scan every text.
+2. One pass over the texts finds the trigrams that any query names (no other can
+   affect an answer), and runs the rules without mandatory trigrams, which scan
+   every text. What it finds is written once; a text is written only if its
+   trigrams complete a query, so no other text travels.
+3. `postings` are (trigram, row) of what was written; `candidates` intersects
+   them: a row's postings meet as bits of a few 64-bit words (partial aggregation
+   keeps one row per text and task), and a rule is a candidate where one
+   conjunction of its query is complete.
+4. The join with the candidates says which rules are verified on which text, with
+   the patterns themselves.
 
 Rows are keyed by (doc_id, 64-bit hash of the text), so repeated doc_ids don't
-mix. Only texts whose own trigrams can complete a query travel to the join.
+mix, and the join is split by adaptive execution where rows repeat.
 
 Defined results: a null text counts as empty; a null doc_id is a value like
 any other; repeated rows each give their result; an empty table gives an empty
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import trigrams
-from weftline.llm.common import anchored, spans, table, whole_text
+from weftline.llm.common import anchored, cut, spans, table, whole_text
 
 SPAN = "array<struct<start:int,kind:string,end:int>>"
 
@@ -95,19 +98,19 @@ class Index:
 
         return F.transform(F.filter(queries, lambda q: F.exists(q["clauses"], met)), lambda q: q["kind"])
 
-    def satisfiable(self, terms: Column) -> Column:
-        """Whether the trigrams of a text complete any query."""
-        data = [sorted(c) for r in self.indexed for c in self.queries[r.kind]]
-        clauses = F.from_json(F.lit(json.dumps(data)), "array<array<string>>")
-        bound = F.transform(F.array(terms), lambda have: F.exists(clauses, lambda c: F.forall(c, lambda t: F.array_contains(have, t))))
-        return F.get(bound, F.lit(0))
-
     def posted(self, text: Column) -> Column:
-        """The indexed trigrams of a text."""
+        """The numbers of the indexed trigrams of a text."""
         terms = F.from_json(F.lit(json.dumps(self.terms)), "array<string>")
         # a lambda's argument is evaluated once; a column named in a lambda may be written out in it by Catalyst
-        within = F.transform(F.array(F.lower(text)), lambda low: F.filter(terms, lambda t: F.contains(low, t)))
-        return F.get(within, F.lit(0))
+        each = lambda low: F.filter(F.transform(terms, lambda t, i: F.when(F.contains(low, t), i)), lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(F.lower(text)), each), F.lit(0))
+
+    def lanes_of(self, terms: Column) -> Column:
+        """The bit words of an array of trigram numbers."""
+        one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(LANE)))
+        bit = lambda t, k: F.when(F.floor(t / LANE) == k, one(t)).otherwise(F.lit(0).cast("long"))
+        zero = F.array(*(F.lit(0).cast("long") for _ in range(self.lanes)))
+        return F.aggregate(terms, zero, lambda a, t: F.array(*(F.get(a, F.lit(k)).bitwiseOR(bit(t, k)) for k in range(self.lanes))))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -115,21 +118,17 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"__k_id": F.col(doc_id), "__k_t": whole_text(text)}).withColumn("__k_hash", F.xxhash64("__k_t"))
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
-    """The postings: (term, __k_id, __k_hash), term being the number of a trigram in `index.terms`."""
-    index = index or Index()
-    number = F.from_json(F.lit(json.dumps(index.terms)), "array<string>")
-    rows = keyed(docs, doc_id, text).select("__k_id", "__k_hash", "__k_t").withColumn("low", F.lower("__k_t"))
-    posted = F.filter(F.transform(number, lambda t, i: F.when(F.contains(F.col("low"), t), i)), lambda i: i.isNotNull())
-    return rows.select("__k_id", "__k_hash", F.explode(posted).alias("term"))
+def postings(rows: DataFrame) -> DataFrame:
+    """The postings (term, __k_id, __k_hash) of keyed rows with `__k_terms`, term being the number of a trigram in `Index.terms`."""
+    return rows.select("__k_id", "__k_hash", F.explode("__k_terms").alias("term"))
 
 
-def candidates(postings: DataFrame, index: Index | None = None) -> DataFrame:
+def candidates(posted: DataFrame, index: Index | None = None) -> DataFrame:
     """(__k_id, __k_hash, kinds): the rules to verify, from intersecting the postings."""
     index = index or Index()
     bit = F.expr(f"shiftleft(1L, cast(term % {LANE} as int))")
     lanes = [F.bit_or(F.when(F.floor(F.col("term") / LANE) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"lane{k}") for k in range(index.lanes)]
-    met = postings.groupBy("__k_id", "__k_hash").agg(*lanes)
+    met = posted.groupBy("__k_id", "__k_hash").agg(*lanes)
     met = met.select("__k_id", "__k_hash", index.satisfied([F.col(f"lane{k}") for k in range(index.lanes)]).alias("kinds"))
     return met.where(F.size("kinds") > 0)
 
@@ -148,25 +147,32 @@ def _maybe(rule: Rule, text: Column) -> Column:
     return text.rlike(rule.pattern)
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
-    """`docs` with `secrets`: array of (start, kind, end) in order of start, then kind as listed."""
+def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, index: Index | None = None) -> DataFrame:
+    """The columns `carry` of `docs` (all unless given) with `secrets`: array of (start, kind, end) in order of start, then kind as listed."""
     index = index or Index()
+    carry = [c for c in (docs.columns if carry is None else carry) if c != "secrets"]
     none = F.array().cast(SPAN)
-    found = candidates(build_index(docs, doc_id, text, index), index)
     rows = keyed(docs, doc_id, text)
     t = F.col("__k_t")
     scanned = [F.when(_maybe(r, t), _found(r, t)).otherwise(none) for r in index.scanned]
-    rows = rows.withColumn("__k_all", F.concat(*scanned) if scanned else none)
-    rows = rows.withColumn("__k_terms", index.posted(t))
-    rows = rows.withColumn("__k_v", F.when(index.satisfiable(F.col("__k_terms")), t)).drop("__k_terms", "__k_t")
+    rows = rows.select(*carry, "__k_id", "__k_hash", "__k_t", (F.concat(*scanned) if scanned else none).alias("__k_all"), index.posted(t).alias("__k_terms"))
+    rows = rows.withColumn("__k_lanes", index.lanes_of(F.col("__k_terms")))
+    met = index.satisfied([F.get("__k_lanes", F.lit(k)) for k in range(index.lanes)])
+    rows = cut(rows.withColumn("__k_v", F.when(F.size(met) > 0, t)).drop("__k_t", "__k_lanes"), "posted")
+    found = candidates(postings(rows), index)
     hit = found.select(F.col("__k_id").alias("__c_id"), F.col("__k_hash").alias("__c_hash"), F.col("kinds").alias("__c_kinds"))
-    rows = rows.join(hit, F.col("__k_id").eqNullSafe(F.col("__c_id")) & (F.col("__k_hash") == F.col("__c_hash")), "left")
+    rows = rows.drop("__k_terms").join(hit, F.col("__k_id").eqNullSafe(F.col("__c_id")) & (F.col("__k_hash") == F.col("__c_hash")), "left")
     v = F.col("__k_v")
     checked = [F.when(F.array_contains("__c_kinds", r.kind) & _maybe(r, v), _found(r, v)).otherwise(none) for r in index.indexed]
     order = F.array(*(F.lit(r.kind) for r in index.rules))
     every = F.transform(F.concat("__k_all", *checked), lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("o"), s["end"], s["kind"].alias("kind")))
     out = F.transform(F.sort_array(every), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return rows.withColumn("secrets", anchored(out)).drop("__k_id", "__k_hash", "__k_all", "__k_v", "__c_id", "__c_hash", "__c_kinds")
+    return rows.select(*carry, anchored(out).alias("secrets"))
+
+
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
+    """`docs` with `secrets`."""
+    return find_secrets(docs, doc_id, text, None, index)
 
 
 def listed(found: Column) -> Column:
@@ -192,7 +198,7 @@ def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scan_secrets(docs)
+    out = find_secrets(docs, carry=["doc_id"])
     found = F.col("secrets")
     base = [r.kind for r in BASE]
     return out.select(
@@ -201,3 +207,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.filter(found, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         listed(found).alias("spans"),
     )
+
+
+def _sql(rule: Rule) -> str:
+    """(rid, s, kind, o, e) of one rule: matches and the pieces between them give the offsets."""
+    pattern = rule.pattern.replace("'", "''")
+    held = f"regexp_extract(h, '{pattern}', {rule.group})"
+    return f"""
+  SELECT rid, s, '{rule.kind}' AS kind, {RULES.index(rule)} AS o, s + length(h) AS e FROM (
+    SELECT rid, h, list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT rid, m, g, unnest(m) AS h, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT rid, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}'))))
+  WHERE length({held}) >= {rule.least}"""
+
+
+OP3_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),\nf AS ("
+    + "\n  UNION ALL".join(map(_sql, RULES))
+    + """),
+x AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) FILTER (o < 3) AS base,
+        string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (rid)
+"""
+)
