@@ -12,11 +12,17 @@
    are ordered by another hash inside a block, so a shard of any size is
    numbered by many tasks. Block offsets make the slots gapless.
 
-Everything is a function of the seed and the row, so a lost executor's tasks
-give the same rows again. Defined results: a null text has no bytes; rows with
-a null doc_id share one virtual partition; repeated rows are interchangeable
-and get slots of their own; an empty table gives an empty table; input columns
-pass through, except those named like an output, which are replaced.
+Orders hash all columns of a row, and rows that agree in all of them are told
+apart by their place in the input, so neither a null key nor a repeated one
+gathers rows in one partition or block. The first pass writes each row with its
+hashes; everything after is a function of what is written and the seed, so a lost
+executor's tasks give the same rows again. Partitions and blocks are as many as
+keep each at about HELD rows.
+
+Defined results: a null text has no bytes; a null doc_id is a value like any
+other; repeated rows are interchangeable and get slots of their own; an empty
+table gives an empty table; input columns pass through whatever their names,
+except `shard` and `slot`, which are replaced.
 """
 
 from __future__ import annotations
@@ -71,32 +77,41 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
     return out
 
 
-def assign_shards(rows: DataFrame, key: str = "doc_id", shards: int = 40, parts: int = 1024, blocks: int = 64, seed: int = SEED) -> DataFrame:
+#: Rows of a virtual partition and of a block, about; and the most virtual partitions, as the matrix is drawn on the driver.
+HELD, MOST_PARTS = 100_000, 16_384
+
+
+def assign_shards(rows: DataFrame, shards: int = 40, parts: int | None = None, blocks: int | None = None, seed: int = SEED) -> DataFrame:
     """`rows` with `shard` (counts at most one apart) and `slot` (gapless from 0 in its shard).
 
-    Hand in narrow rows: they are sorted twice and written once. The broadcast
-    tables hold parts x shards and shards x blocks numbers, whatever the input.
+    Hand in narrow rows: they are written twice and sorted twice. The broadcast
+    tables hold parts x shards and shards x blocks numbers: a number for each
+    HELD rows and shard, and at most MOST_PARTS x shards.
     """
-    spark = rows.sparkSession
-    order = lambda k: F.xxhash64(F.lit(seed + k), F.col(key))
-    ties = [F.col(c) for c, kind in rows.dtypes if not kind.startswith("map")]
-    rows = rows.withColumn("__h_part", F.pmod(order(1), F.lit(parts)).cast("int"))
-    found = {r[0]: r[1] for r in rows.groupBy("__h_part").count().collect()}
-    names, total = sorted(found), sum(found.values())
-    matrix = communication_matrix([found[p] for p in names], [total // shards + (j < total % shards) for j in range(shards)], seed)
-    dealt = [{"p": p, "upto": [sum(row[: j + 1]) for j in range(shards)]} for p, row in zip(names, matrix, strict=True)]
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(dealt)), "array<struct<p:int,upto:array<bigint>>>")))
-    rows = rows.withColumn("__h_r", F.row_number().over(Window.partitionBy("__h_part").orderBy(order(2), *ties)))
-    rows = rows.join(F.broadcast(plan), F.col("__h_part") == F.col("p"))
-    rows = rows.withColumn("shard", F.size(F.filter("upto", lambda c: c < F.col("__h_r"))))
-    rows = rows.withColumn("__h_block", F.pmod(order(3), F.lit(blocks)).cast("int"))
-    placed = cut(rows.drop("__h_part", "__h_r", "p", "upto"), "sharded")
-    before = Window.partitionBy("shard").orderBy("__h_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "__h_block").count().withColumn("__h_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("shard", "__h_block").orderBy(order(4), *ties)
-    out = placed.withColumn("__h_n", F.row_number().over(inside)).join(F.broadcast(starts), ["shard", "__h_block"])
-    out = out.withColumn("slot", (F.col("__h_start") + F.col("__h_n") - 1).cast("long"))
-    return out.select(*(c for c in placed.columns if c not in ("shard", "slot", "__h_block")), "shard", "slot")
+    spark, names = rows.sparkSession, [c for c in rows.columns if c not in ("shard", "slot")]
+    hashed = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    once = F.xxhash64(F.lit(seed), *hashed)
+    # the row number tells repeated rows apart; it is written before it is used, so it stays what it was
+    rows = cut(rows.select(F.struct(*names).alias("row"), once.alias("h"), F.monotonically_increasing_id().alias("n")), "rows")
+    total = rows.count()
+    parts = parts or min(MOST_PARTS, max(64, -(-total // HELD)))
+    blocks = blocks or max(8, -(-total // (shards * HELD)))
+    order = lambda k: F.xxhash64(F.lit(seed + k), "h", "n")
+    rows = rows.withColumn("part", F.pmod(order(1), F.lit(parts)).cast("int"))
+    found = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}
+    known = sorted(found)
+    matrix = communication_matrix([found[p] for p in known], [total // shards + (j < total % shards) for j in range(shards)], seed)
+    dealt = [{"part": p, "upto": [sum(row[: j + 1]) for j in range(shards)]} for p, row in zip(known, matrix, strict=True)]
+    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(dealt)), "array<struct<part:int,upto:array<bigint>>>")))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(order(2), "h", "n")))
+    rows = rows.join(F.broadcast(plan), "part")
+    rows = rows.withColumn("shard", F.size(F.filter("upto", lambda c: c < F.col("r")))).withColumn("block", F.pmod(order(3), F.lit(blocks)).cast("int"))
+    placed = cut(rows.select("row", "h", "n", "shard", "block"), "sharded")
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("shard", "block").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = Window.partitionBy("shard", "block").orderBy(order(4), "h", "n")
+    out = placed.withColumn("r", F.row_number().over(inside)).join(F.broadcast(starts), ["shard", "block"])
+    return out.select("row.*", "shard", (F.col("start") + F.col("r") - 1).cast("long").alias("slot"))
 
 
 def row_size(text: Column) -> Column:
