@@ -30,8 +30,14 @@ def test_sitemap_walk(spark):
     ix = "<sitemapindex><sitemap><loc>https://s.test/{0}.xml</loc></sitemap><sitemap><loc>https://foreign.test/x.xml</loc></sitemap></sitemapindex>"
     rows = [("https://s.test/i.xml", 200, ix.format("j")), ("https://s.test/j.xml", 200, ix.format("u")), ("https://s.test/u.xml", 200, "<urlset><url><loc>https://s.test/a/</loc></url></urlset>"), ("https://foreign.test/x.xml", 200, "<urlset><url><loc>https://no/</loc></url></urlset>"), ("https://s.test/bad.xml", 200, "<html>")]
     d = spark.createDataFrame(rows, "url string, status int, body string")
-    assert [tuple(r) for r in sitemaps.walk(d, ["https://s.test/i.xml", "https://s.test/bad.xml"], ("s.test",)).collect()] == [("https://s.test/a/", 2, "https://s.test/u.xml")]
+    got = sitemaps.walk(d, ["https://s.test/i.xml", "https://s.test/bad.xml"], ("s.test",))
+    assert [tuple(r)[:3] for r in got.where("note = ''").collect()] == [("https://s.test/a/", 2, "https://s.test/u.xml")]
+    assert {tuple(r) for r in got.where("note <> ''").collect()} == {("https://foreign.test/x.xml", k, f"https://s.test/{n}.xml", "foreign-sitemap") for k, n in enumerate("ij")}
     assert sitemaps.walk(d, [], ("s.test",)).count() == 0
+    capped = sitemaps.walk(d, ["https://s.test/i.xml", "https://s.test/u.xml"], ("s.test",), max_files=2)
+    assert [(r.url, r.note) for r in capped.where("note in ('', 'cap')").collect()] == [("https://s.test/a/", ""), ("https://s.test/j.xml", "cap")]
+    assert sitemaps.walk(d, ["https://s.test/i.xml"], ("s.test",), max_depth=1).where("note = 'cap'").first().url == "https://s.test/u.xml"
+    assert sitemaps.read_sitemap('<urlset xmlns:i="x"><url><i:image><i:loc>n</i:loc></i:image><loc> y </loc></url></urlset>') == ("urlset", ["y"], [])
     assert sitemaps.candidates("https://s.test/", ["https://s.test/sitemap.xml"])[:2] == ["https://s.test/sitemap.xml", "https://s.test/wp-sitemap.xml"]
 
 
@@ -71,20 +77,19 @@ DOCS = [
 ]
 
 
-def found(spark, query, fast=False, lang=""):
+def found(spark, query, lang=""):
     rows = [(p, "SEO", d, x, (t, "", i, "de" if p != "/f/" else "en")) for p, t, d, x, i in DOCS]
     d = spark.createDataFrame(rows, search.DOCS)
-    return [(r.path, r["rank"]) for r in search.search(search.search_fields(d, fast), query, lang).collect()]
+    return [(r.path, r["rank"]) for r in search.search(search.search_fields(d), query, lang).collect()]
 
 
-@pytest.mark.parametrize("fast", [False, True])
-def test_search_ranks(spark, fast):
-    assert found(spark, "strasse", fast) == [("/b/", 1), ("/a/", 2)]
-    assert found(spark, "Fassade Holz", fast) == [("/a/", 1), ("/e/", 3), ("/c/", 4), ("/d/", 5), ("/f/", 6)]
-    assert found(spark, "holz fassade", fast) == [("/a/", 2), ("/e/", 3), ("/f/", 6), ("/d/", 6), ("/c/", 6)]
-    assert found(spark, '"fassade holz"', fast) == [("/a/", 1), ("/d/", 2), ("/c/", 2)]
-    assert [p for p, _ in found(spark, "", fast)] == ["/f/", "/a/", "/b/", "/d/", "/c/", "/e/"]
-    assert found(spark, "zzz", fast) == [] and ("/f/", 6) not in found(spark, "holz fassade", fast, lang="de")
+def test_search_ranks(spark):
+    assert found(spark, "strasse") == [("/b/", 1), ("/a/", 2)]
+    assert found(spark, "Fassade Holz") == [("/a/", 1), ("/e/", 3), ("/c/", 4), ("/d/", 5), ("/f/", 6)]
+    assert found(spark, "holz fassade") == [("/a/", 2), ("/e/", 3), ("/f/", 6), ("/d/", 6), ("/c/", 6)]
+    assert found(spark, '"fassade holz"') == [("/a/", 1), ("/d/", 2), ("/c/", 2)]
+    assert [p for p, _ in found(spark, "")] == ["/f/", "/a/", "/b/", "/d/", "/c/", "/e/"]
+    assert found(spark, "zzz") == [] and ("/f/", 6) not in found(spark, "holz fassade", lang="de")
     assert search.query_terms("a b c d e f g h i")[1] == list("abcdefgh")
 
 
@@ -94,6 +99,12 @@ def test_terms(spark):
     assert search.rare_term(search.document_frequency(d)).first().word == "unbelievable"
     e = spark.createDataFrame([("1", "ab"), ("2", "bc"), ("3", "cd"), ("4", "de")], "path string, text string")
     assert [tuple(r)[1:] for r in greedy_cover(e).collect()] == [("b", 2), ("d", 2)]
+    f = spark.createDataFrame([("ČEŠTINA Őrült Việt ελλάς naïve",), (None,)], "t string").select(search.folded(F.col("t")).alias("f")).collect()
+    assert [r.f for r in f] == ["cestina orult viet ελλας naive", None]
+    u = spark.createDataFrame([("1", "čeština"), ("2", "cestina")], "path string, text string")
+    assert {r.word: r.df for r in search.document_frequency(u).collect()} == {"cestina": 2}
+    many = spark.createDataFrame([(str(k), f"q{k}") for k in range(3)] + [("n", "")], "path string, text string")
+    assert [tuple(r) for r in greedy_cover(many).collect()] == [(1, "q", 3), (None, None, 1)]
     s = spark.createDataFrame([("you searched for te - te x",)], "t string").select(search.split_echo(F.col("t"), "te").alias("e")).first().e
     assert (s.before, s.after) == ("you searched for te - ", " x")
 
@@ -185,9 +196,11 @@ def test_first_writes_and_stub(spark):
 
 def test_text_files(spark):
     files = spark.createDataFrame([("a.css", "p{background:url( '/i.png' )} @import \"/b.css\"; x{y:url(data:1)}"), ("b.js", "var a='/wp-content/x.js', b=\"/cdn-cgi/y\\\\\";"), ("c.html", "http://192.168.1.9:80/ http://localhost/ https://ok.test/ http://nas.local/")], "file string, text string")
-    assert {r.ref for r in graph.css_refs(files).collect()} == {"/i.png", "/b.css"}
+    assert {r.ref for r in graph.css_refs(files.where("file = 'a.css'")).collect()} == {"/i.png", "/b.css"}
     assert {r.ref for r in graph.script_refs(files).collect()} == {"/wp-content/x.js", "/cdn-cgi/y"}
     assert {r.url for r in graph.private_urls(files, ("nas.local",)).collect()} == {"http://192.168.1.9:80", "http://localhost"}
+    hosts = spark.createDataFrame([(h,) for h in ("10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.0.1", "192.169.0.1", "Localhost", "a.local", "10.example.com", "")], "h string")
+    assert [r.p for r in hosts.select(graph.is_private(F.col("h")).alias("p")).collect()] == [True, True, False, True, False, True, True, False, False]
     assert graph.leftovers(files, "new.test", "ok.test").first().n == 1
     paths = spark.createDataFrame([("wp-json",), ("a/wp-login.php",), ("index.html",)], "path string")
     assert graph.dynamic_files(paths).count() == 2 and graph.has_homepage(paths).first()[0]

@@ -65,8 +65,9 @@ def test_minify():
 
 
 def test_json_and_slides():
-    data = [{"@type": ["X", "SearchAction"], "target": {"urlTemplate": "o"}}, {"p": {"@type": "SearchAction", "target": ["o"]}}]
-    assert R.fix_search_action(data, "/s/") == 2 and data[0]["target"]["urlTemplate"] == "/s/" and data[1]["p"]["target"] == ["/s/"]
+    data = [{"@type": ["X", "SearchAction"], "target": {"urlTemplate": "https://x.de/?s={q}"}}, {"p": {"@type": "SearchAction", "target": ["o"]}}, {"@type": "SearchAction"}, {"@type": "X", "target": "o"}]
+    assert R.fix_search_action(data, "/s/?q={q}") == 2 and data[0]["target"]["urlTemplate"] == "https://x.de/s/?q={q}" and data[1]["p"]["target"] == ["/s/?q={q}"]
+    assert R.fix_search_action(data, "/s/?q={q}") == 0 and "target" not in data[2] and data[3]["target"] == "o"
     assert R.script_json("</script>\u2028") == '"\\u003c/script>\\u2028"'
     blob = {"slides": {"1": {"slide": {"id": 7}, "layers": []}, "2": {"slide": {"id": 8, "global": True}, "layers": []}, "3": {"slide": {}}}}
     assert R.hydrate_slides(blob, {"slides": {"a": {"slide": {"id": "7"}, "layers": [1]}, "b": {"slide": {"id": 8}, "layers": [2]}}}) == 1 and blob["slides"]["1"]["layers"] == [1]
@@ -80,6 +81,17 @@ def test_lazy_images():
     assert out.count("loading=") == 1 and 'width="3" height="4"' in out
 
 
+def test_pages_nested_without_bound():
+    deep = "<ul>" + "<li>x" * 5000 + "</ul>"
+    assert H.serialize(H.parse(deep)).count("</li>") == 5000
+    assert R.rewrite_page(deep, SITE)[0].count("<li>") == 5000 and len(H.card_positions(H.parse(deep).children[0])) == 10_001
+
+
+def test_search_links_stay_on_the_site():
+    link = lambda ref: pages.parse_page("https://x.de/a/", f'<a href="{ref}">s</a>', SITE)["search_link"]
+    assert link("/?s=a") and link("https://www.x.de/?q=a") and not link("https://y.org/?s=a") and not link("/s/")
+
+
 def test_tree_is_lenient():
     assert H.serialize(H.parse("<p><b>a</p>b</i><br/><img src=x>")) == '<p><b>a</b></p>b<br/><img src="x"/>'
     assert H.serialize(H.parse("<!DOCTYPE html><!-- c --><script>a<b</script>&lt;")) == "<!DOCTYPE html><!-- c --><script>a<b</script>&lt;"

@@ -7,7 +7,9 @@ comparison is relational; only the template of a layout needs a tree.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,23 +58,26 @@ def differences(positions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def make_template(card_html: str, variable: set[str], optional: set[str]) -> str:
     """A card with {{key}} for each variable value and {{?key}}…{{/key}} around each optional element."""
     top = next(c for c in parse(card_html).children if isinstance(c, Node))
-
-    def write(node: Node, at: str) -> str:
-        attrs = "".join(f' {k}="{"{{" + f"{at}@{k}" + "}}" if f"{at}@{k}" in variable else v}"' for k, v in node.attrs.items())
-        out, seen, texts = [f"<{node.tag}{attrs}>"], {}, 0
-        for c in node.children:
-            if isinstance(c, str):
-                key = f"{at}#{texts}"
-                texts += bool(c.strip())
-                out.append("{{" + key + "}}" if c.strip() and key in variable else c)
-            elif isinstance(c, Node):
-                n = seen.get(c.tag, 0)
-                seen[c.tag] = n + 1
-                out.append(write(c, f"{at}/{c.tag}{n}"))
-        body = "".join([*out, f"</{node.tag}>"])
-        return "{{?" + at + "}}" + body + "{{/" + at + "}}" if at in optional else body
-
-    return write(top, top.tag)
+    out: list[str] = []
+    todo: list = [(top, top.tag)]
+    while todo:
+        c, at = todo.pop()
+        if isinstance(c, str):
+            out.append("{{" + at + "}}" if at in variable else c)
+            continue
+        attrs = "".join(f' {k}="{"{{" + f"{at}@{k}" + "}}" if f"{at}@{k}" in variable else v}"' for k, v in c.attrs.items())
+        out.append(("{{?" + at + "}}" if at in optional else "") + f"<{c.tag}{attrs}>")
+        seen, below = Counter(), []
+        for x in c.children:
+            if isinstance(x, Node):
+                below.append((x, f"{at}/{x.tag}{seen[x.tag]}"))
+                seen[x.tag] += 1
+            elif isinstance(x, str):
+                below.append((x, f"{at}#{seen['#']}" if x.strip() else ""))
+                seen["#"] += bool(x.strip())
+        todo.append((f"</{c.tag}>" + ("{{/" + at + "}}" if at in optional else ""), ""))
+        todo.extend(reversed(below))
+    return "".join(out)
 
 
 def render(template: str, values: dict[str, str], present: set[str]) -> str:
@@ -95,8 +100,8 @@ def templates(cards: DataFrame) -> DataFrame:
     rows = sample.join(keys(variable, "variable"), "layout", "left").join(keys(optional, "optional"), "layout", "left")
     rows = rows.select("layout", "html", F.coalesce("variable", none).alias("variable"), F.coalesce("optional", none).alias("optional"))
 
-    @F.udf("string")
-    def build(html, v, o):  # one row a layout
-        return make_template(html, set(v), set(o))
+    @F.pandas_udf("string")
+    def build(html: pd.Series, v: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series([make_template(h, set(x), set(y)) for h, x, y in zip(html, v, o, strict=True)])
 
     return rows.select("layout", build("html", "variable", "optional").alias("template"), "variable", "optional")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import host_key, page_url, url_host, url_path, url_query
-from weftline.rules import Site
+from weftline.rules import Rules, Site, load_rules
 
 META = (
     "url string, status int, final_url string, error string, title string, has_title boolean, has_description boolean, has_viewport boolean, "
@@ -116,11 +116,12 @@ def exit_code(failed: int, missing: int, strict: bool) -> int:
     return int(strict and bool(failed or missing))
 
 
-def mobile_verdict(pages: DataFrame) -> DataFrame:
-    """`pages` (url, desktop, mobile, mobile_ok, control) with `verdict`; bodies are compared without noise."""
+def mobile_verdict(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """`pages` (url, desktop, mobile, mobile_ok, control) with `verdict`; bodies are compared without noise, that of the vendor profiles included."""
     from weftline.operators.pages import noise_free
 
-    same = noise_free(F.col("mobile")) == noise_free(F.col("desktop"))
-    moving = F.col("control").isNotNull() & (noise_free(F.col("control")) != noise_free(F.col("desktop")))
+    bare = lambda name: noise_free(F.col(name), (rules or load_rules()).noise_patterns)
+    same = bare("mobile") == bare("desktop")
+    moving = F.col("control").isNotNull() & (bare("control") != bare("desktop"))
     verdict = F.when(~F.col("mobile_ok") | F.col("mobile").isNull(), "check-failed").when(same, "same").when(F.col("control").isNull(), "check-failed").when(moving, "dynamic").otherwise("different")
     return pages.withColumn("verdict", verdict)

@@ -26,10 +26,15 @@ PARSED = ", ".join(
     [*(f"{n} string" for n in _TEXT), *(f"{n} boolean" for n in _FLAGS), "alternates map<string,string>", "links array<struct<pos:int,tag:string,attr:string,rel:string,ref:string,kind:string,dst:string>>"]
 )
 
-# Patterns of references in style text and refresh tags.
-_CSS_URL = re.compile(r"url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", re.I)
-_CSS_IMPORT = re.compile(r"@import\s+['\"]([^'\"]+)['\"]", re.I)
-_REFRESH = re.compile(r"url\s*=\s*(.+)", re.I)
+# References in style text and refresh tags.
+_CSS_URL = re.compile(r"""url\(\s*["']?\s*([^"')\s][^"')]*)""", re.I)
+_CSS_IMPORT = re.compile(r"""@import\s+(?:"([^"]+)"|'([^']+)')""", re.I)
+_REFRESH = re.compile(r"""\burl\s*=\s*["']?([^"']+)""", re.I)
+
+
+def css_refs(css: str) -> list[str]:
+    """What style text loads by url() or @import."""
+    return _CSS_URL.findall(css) + [a or b for a, b in _CSS_IMPORT.findall(css)]
 # Schemes that navigate nowhere.
 NOWHERE = ("data:", "mailto:", "tel:", "javascript:", "#")
 
@@ -83,12 +88,12 @@ def candidates(root: H.Node, rules: Rules):
             if (n.get("property") or n.get("name")).lower() in ("og:image", "og:image:url", "twitter:image"):
                 yield "meta-img", "content", "", n.get("content")
             if n.get("http-equiv").lower() == "refresh" and (m := _REFRESH.search(n.get("content"))):
-                yield "a", "refresh", "", m[1].strip("'\" ")
+                yield "a", "refresh", "", m[1].strip()
         else:
             yield from ((n.tag, "text", "", v) for a, v in n.attrs.items() if a not in special and v)
         if n.tag == "style":
             css = "".join(n.strings())
-            yield from (("style", "css", "", m) for m in (*_CSS_URL.findall(css), *_CSS_IMPORT.findall(css)))
+            yield from (("style", "css", "", m) for m in css_refs(css))
         if n.tag == "script":
             yield "script", "text", "", "".join(n.strings())
 
@@ -120,14 +125,14 @@ def parse_page(url: str, html: str | None, site: Site | None = None, rules: Rule
     links = []
     for tag, attr, rel, ref in candidates(root, site.rules):
         found = u.swept(ref) if attr == "text" else route(u, url, tag, set(rel.split()), ref)
-        links.extend({"pos": len(links) + i, "tag": tag, "attr": attr, "rel": rel, "ref": ref[:2000], "kind": kind, "dst": dst} for i, (kind, dst) in enumerate(found))
+        links.extend({"pos": len(links) + i, "tag": tag, "attr": attr, "rel": rel, "ref": "" if attr == "text" else ref, "kind": kind, "dst": dst} for i, (kind, dst) in enumerate(found))
     alternates: dict[str, str] = {}
     for n in root.find("link"):
         if "alternate" in n.words("rel") and (tag := n.get("hreflang").strip()) and u.internal(n.get("href").strip()) and (dst := u.page(u.based(n.get("href").strip()))):
             alternates.setdefault(tag, dst)
     content = H.content_root(root)
     text = H.visible_text(content if content is not None else H.body_of(root), limit)
-    return {"url": url, **H.signals(root), "artifact": artifact(url, html or ""), "text": text, "whole_body": content is None, "alternates": list(alternates.items()), "links": links, "error": ""}
+    return {"url": url, **H.signals(root, lambda ref: u.internal(u.resolved(url, ref))), "artifact": artifact(url, html or ""), "text": text, "whole_body": content is None, "alternates": list(alternates.items()), "links": links, "error": ""}
 
 
 def parse_pages(pages: DataFrame, site: Site | None = None, url: str = "url", html: str = "html", limit: int = 2000) -> DataFrame:

@@ -21,15 +21,20 @@ MAX_TERMS = 8
 
 
 @F.pandas_udf(StringType())
-def folded(text: pd.Series) -> pd.Series:
-    """Lower case, no combining marks, sharp s as ss."""
-    return text.map(lambda s: fold(s) if isinstance(s, str) else "")
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: fold(s) if isinstance(s, str) else None)
 
 
-def fold_column(text: Column) -> Column:
-    """`folded` for Latin letters as built-in expressions, for corpora known to hold no others."""
+def folded(text: Column) -> Column:
+    """Lower case, no combining marks, sharp s as ss; null stays null.
+
+    Texts of Latin-1 letters are folded by built-in expressions, only others go
+    to Python.
+    """
     marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    return F.replace(F.translate(F.lower(text), marked, "aaaaaaceeeeiiiinooooouuuuyy"), F.lit("ß"), F.lit("ss"))
+    plain = F.replace(F.translate(F.lower(text), marked, "aaaaaaceeeeiiiinooooouuuuyy"), F.lit("ß"), F.lit("ss"))
+    other = text.rlike(r"[^\x00-\xFF]")
+    return F.when(other, _folded(F.when(other, text))).otherwise(plain)
 
 
 def query_terms(query: str) -> tuple[str, list[str]]:
@@ -40,11 +45,10 @@ def query_terms(query: str) -> tuple[str, list[str]]:
     return sentence, terms or [sentence]
 
 
-def search_fields(docs: DataFrame, fast: bool = False) -> DataFrame:
+def search_fields(docs: DataFrame) -> DataFrame:
     """`docs` with folded f_title, f_excerpt, f_content: compute once, write, and search many times."""
-    f = fold_column if fast else folded
     first = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b), F.lit(""))
-    return docs.withColumns({"f_title": f(first("slot.t", "title")), "f_excerpt": f(first("slot.e", "desc")), "f_content": f(F.coalesce("text", F.lit("")))})
+    return docs.withColumns({"f_title": folded(first("slot.t", "title")), "f_excerpt": folded(first("slot.e", "desc")), "f_content": folded(F.coalesce("text", F.lit("")))})
 
 
 def search(docs: DataFrame, query: str, lang: str = "", limit: int = RESULTS) -> DataFrame:
@@ -97,8 +101,8 @@ def index_json(docs: DataFrame, lang: str = "") -> DataFrame:
 
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(path, word): the folded words of a document, each once."""
-    found = F.regexp_extract_all(fold_column(F.col(text)), F.lit(r"\p{L}{2,32}"), F.lit(0))
+    """(path, word): the folded words of a document, each once; runs of letters are cut at 32."""
+    found = F.regexp_extract_all(folded(F.col(text)), F.lit(r"\p{L}{2,32}"), F.lit(0))
     return docs.select("path", F.explode(F.array_distinct(found)).alias("word"))
 
 

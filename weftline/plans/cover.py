@@ -26,20 +26,22 @@ def terms(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def greedy_cover(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(round, term, covered): letters before words, then the most documents, then the alphabet."""
+    """(round, term, covered): letters before words, then the most documents, then the alphabet.
+
+    A row without a term, if any, counts the documents that stay uncovered after
+    the last round. After a round only the terms of uncovered documents are kept.
+    """
     spark, out = docs.sparkSession, []
     table = written(terms(docs, text))
-    left = written(docs.select("path").distinct())
-    used: list[str] = []
+    left = docs.select("path").distinct().count()
     for k in range(1, rounds + 1):
-        open_rows = table.join(left, "path", "left_semi")
-        if used:
-            open_rows = open_rows.where(~F.col("term").isin(used))
-        best = open_rows.groupBy("pool", "term").agg(F.count("*").alias("n")).orderBy("pool", F.desc("n"), "term").first()
+        best = table.groupBy("pool", "term").agg(F.count("*").alias("n")).orderBy("pool", F.desc("n"), "term").first()
         if best is None:
             break
-        used.append(best.term)
         out.append((k, best.term, best.n))
+        left -= best.n
         hit = table.where((F.col("pool") == best.pool) & (F.col("term") == best.term)).select("path")
-        left = written(left.join(hit, "path", "left_anti"))
+        table = written(table.join(hit, "path", "left_anti"))
+    if left:
+        out.append((None, None, left))
     return spark.createDataFrame(out, "round int, term string, covered long")

@@ -8,6 +8,7 @@ a reread.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", got := f"file://{made}")
@@ -56,7 +59,10 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_
         if not got:
             break
         n += got
-        seen = written(seen.unionByName(frontier))
+        # each round's folder stays as it is; reading many of them is cheaper than writing what was seen again
+        seen = seen.unionByName(frontier)
+        if k % 16 == 0:
+            seen = written(seen)
     return seen
 
 

@@ -46,7 +46,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_search(spark, sf_dir):
     """Flagship: parse, index and search the captured pages."""
     docs = parsed(spark, sf_dir).select(F.col("url").alias("path"), "title", F.col("description").alias("desc"), "text", F.struct(F.lit("").alias("t"), F.lit("").alias("e"), "date", "lang").cast("struct<t:string,e:string,i:string,l:string>").alias("slot"))
-    return search.search(search.search_fields(docs, fast=True), "the tion", lang="en", limit=50).select("path", "rank")
+    return search.search(search.search_fields(docs), "the tion", lang="en", limit=50).select("path", "rank")
 
 
 def language_counts(spark, sf_dir):
@@ -135,12 +135,12 @@ def rewritten_pages(spark, sf_dir):
 
 
 def ranked_search(spark, sf_dir):
-    docs = search.search_fields(_docs(spark, sf_dir), fast=True)
+    docs = search.search_fields(_docs(spark, sf_dir))
     return search.search(docs, "licensed under the", limit=50).select("path", "rank")
 
 
 def phrase_search(spark, sf_dir):
-    docs = search.search_fields(_docs(spark, sf_dir), fast=True)
+    docs = search.search_fields(_docs(spark, sf_dir))
     return search.search(docs, '"Licénsed under the"', limit=50).select("path", "rank")
 
 
@@ -238,10 +238,78 @@ def mobile_verdicts(spark, sf_dir):
     return classify.mobile_verdict(spark.sql(f"select * from values {MOBILE} as t(url, desktop, mobile, mobile_ok, control)")).select("url", "verdict")
 
 
-def sitemap_locs(spark, sf_dir):
-    doc = "<urlset><url><loc> https://site.test/a/?b=1&amp;c=2 </loc></url><x:url><x:loc><![CDATA[https://site.test/b/]]></x:loc></x:url></urlset>"
-    rows = spark.range(1).select(F.lit(doc).alias("body"))
-    return rows.select(sitemaps.kind(F.col("body")).alias("kind"), F.explode(sitemaps.locs(F.col("body"))).alias("loc"))
+SITEMAPS = """
+  ('https://site.test/index.xml', 200, '<x:sitemapindex xmlns:x="s"><x:sitemap><x:loc>https://site.test/a.xml</x:loc></x:sitemap><x:sitemap><x:loc> https://www.site.test/b.xml </x:loc></x:sitemap><x:sitemap><x:loc>https://other.test/c.xml</x:loc></x:sitemap></x:sitemapindex>'),
+  ('https://site.test/a.xml', 200, '<urlset xmlns:i="i"><url><loc>https://site.test/a/?b=1&amp;c=2</loc><i:image><i:loc>https://site.test/i.png</i:loc></i:image></url><url><loc><![CDATA[https://site.test/b/]]></loc></url></urlset>'),
+  ('https://www.site.test/b.xml', 200, '<urlset><url><loc>https://other.test/x/</loc></url><url><loc>https://www.site.test/d/</loc></url></urlset>'),
+  ('https://other.test/c.xml', 200, '<urlset><url><loc>https://site.test/never/</loc></url></urlset>'),
+  ('https://site.test/gone.xml', 404, '<urlset><url><loc>https://site.test/never/</loc></url></urlset>'),
+  ('https://site.test/bad.xml', 200, '<urlset><url>')
+"""
+
+
+def sitemap_walk(spark, sf_dir):
+    rows = spark.sql(f"select * from values {SITEMAPS} as t(url, status, body)")
+    roots = [f"https://site.test/{name}.xml" for name in ("index", "gone", "bad", "absent")]
+    return sitemaps.walk(rows, roots, ("site.test",))
+
+
+PAGES = """
+  ('https://site.test/a/', '<html lang="en"><head><title> A </title><meta name="Description" content="d"><meta name="viewport" content="w"><link rel="canonical" href=" https://site.test/b/ "></head><body><a href="https://other.test/?s=x">s</a></body></html>'),
+  ('https://site.test/b/', '<html><head><title></title><meta name="robots" content="NOINDEX, follow"></head><body class="attachment"><form role="search"></form></body></html>'),
+  ('https://site.test/c/', '<html lang="de"><head><meta name="description" content=" "></head><body class="archive"><p class="no-results not-found">x</p><form><input name="s"></form></body></html>'),
+  ('https://site.test/phpthumb_cache_1/d', '<html><body><a href="/?q=x">s</a></body></html>')
+"""
+
+
+def signal_fixture(spark, sf_dir):
+    """What the captured pages never hold: descriptions, viewports, canonicals, robots, artifacts, searches on and off the site."""
+    rows = pages.parse_pages(spark.sql(f"select * from values {PAGES} as t(url, html)"))
+    return rows.select("url", "title", "lang", "has_title", "has_description", "has_viewport", "noindex", "canonical", "artifact", "search_form", "search_link")
+
+
+LINKED = """
+  ('https://site.test/', '<a href="/download/9/?x=1">d</a><a href="/Download/9">no</a><a href="https://site.test/download/9/">no</a>'),
+  ('https://site.test/b/', '<a href="/download/8#a">e</a><img src="/download/9">'), ('https://site.test/c/', '<p>/download/9/</p>')
+"""
+ENDPOINTS = "('/download/9/', '/download/9/f.pdf'), ('/download/8', '/download/8/g.zip')"
+
+
+def rewritten_downloads(spark, sf_dir):
+    linked = spark.sql(f"select * from values {LINKED} as t(url, html)")
+    return rewrite.rewrite_downloads(linked, spark.sql(f"select * from values {ENDPOINTS} as t(endpoint, file_path)")).select("url", "html", "n")
+
+
+def image_sizes(spark, sf_dir):
+    """Sizes of images, joined with the pages that show them: here every page of the table shows its own number."""
+    rows = table(spark, sf_dir, "pages").groupBy("url").agg(F.pmod(F.min("page_id"), F.lit(7)).cast("string").alias("k"))
+    shown = rows.select("url", F.concat(F.lit('<img src="/a.png"><img src="/i'), "k", F.lit('.png?v=1">')).alias("html"))
+    sizes = spark.range(5).select(F.concat(F.lit("/i"), F.col("id").cast("string"), F.lit(".png")).alias("path"), (F.col("id") + 10).alias("width"), (F.col("id") + 20).alias("height"))
+    return rewrite.size_images(shown, sizes).select("url", "html")
+
+
+FILES = """
+  ('a/index.html', '<link rel="canonical" href="https://site.test/a/"><a href="https://www.site.test/b/" title="https://site.test/">x</a><style>p{background:url(https://site.test/i.png)}</style>'),
+  ('b/index.html', '<script type="application/ld+json">{"u": "https://site.test/"}</script><meta content="https://site.test/">'),
+  ('c.css', 'p{background:url(//site.test/i.png)}'), ('d.js', 'var u = "https://other.test/"'), ('e.txt', 'https://site.test/')
+"""
+
+
+def origin_refs(spark, sf_dir):
+    return graph.origin_refs(spark.sql(f"select * from values {FILES} as t(file, text)"), SITE)
+
+
+def unresolved_locs(spark, sf_dir):
+    """The captured URLs as a sitemap against a tree that holds the paths of three letters and fewer."""
+    urls = table(spark, sf_dir, "pages").select("url")
+    body = urls.select(F.concat(F.lit("<urlset><url><loc>"), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</loc></url></urlset>")).alias("body"))
+    files = urls.where(F.length(U.url_path(F.col("url"))) <= 7).select(F.concat(F.regexp_replace(U.url_path(F.col("url")), "^/+|/+$", ""), F.lit("/index.html")).alias("path"))
+    return sitemaps.unresolved_locs(body, files)
+
+
+def css_references(spark, sf_dir):
+    css = "('a/b/c.css', 'p{background:url( \"../i.png\" )} @import \"/d.css\"; q{x:url(./e/../f.png?v=1)} r{y:url(data:1)}'), ('top.css', 'p{background:url(g.png)}')"
+    return graph.css_refs(spark.sql(f"select * from values {css} as t(file, text)"))
 
 
 def card_differences(spark, sf_dir):
@@ -264,7 +332,8 @@ QUERIES = {
         page_search, language_counts, host_counts, extension_counts, page_signals, page_links, page_edges, link_kinds, link_in_degree, dangling_links,
         normalized_urls, skipped_query_urls, robots_verdict, host_language_prefixes, noise_free_pages, reachable, page_text, rewritten_pages,
         ranked_search, phrase_search, document_frequency, rare_term, cover_terms, snippets, echo_split, majority_language,
-        index_exclusion, sitemap_entries, redirect_rules, email_decode, b64_urls, mobile_verdicts, sitemap_locs, card_differences, hourly_events,
+        index_exclusion, sitemap_entries, redirect_rules, email_decode, b64_urls, mobile_verdicts, sitemap_walk, card_differences, hourly_events,
+        signal_fixture, rewritten_downloads, image_sizes, origin_refs, unresolved_locs, css_references,
     )
 }
 
@@ -337,8 +406,17 @@ SQL = {
         k AS (SELECT *, CASE WHEN error <> '' OR content_type NOT LIKE '%html%' THEN 'not-a-page' WHEN is_stub THEN 'redirect-stub' WHEN artifact <> '' THEN artifact ELSE '' END AS a FROM m)
         SELECT url, CASE WHEN a <> '' THEN a WHEN source <> 'sitemap' THEN 'link-only' WHEN noindex THEN 'noindex' WHEN moved THEN 'canonical-mismatch' ELSE '' END AS sitemap,
         CASE WHEN a <> '' THEN a WHEN moved THEN 'canonical-mismatch' ELSE '' END AS search FROM k""",
-    "sitemap_entries": "SELECT * FROM (VALUES ('https://site.test/', '2015-10-21'), ('https://site.test/a/', '1994-11-06'), ('https://site.test/f/', '')) AS t(url, lastmod)",
-    "redirect_rules": "SELECT * FROM (VALUES ('/old/', '/new/'), ('/old', '/new2/'), ('/t/', '/u/?k=v')) AS t(from_path, to_ref)",
+    "sitemap_entries": f"""WITH p({PAGE_COLUMNS}) AS (VALUES {PAGE_ROWS}),
+        k AS (SELECT *, CASE WHEN save_url <> '' THEN save_url ELSE url END AS target, coalesce(strftime(try_strptime(regexp_extract(last_modified, '^\\w{{3}},\\s*(.+) GMT$', 1), '%d %b %Y %H:%M:%S'), '%Y-%m-%d'), '') AS day FROM p
+              WHERE error = '' AND content_type LIKE '%html%' AND NOT is_stub AND artifact = '' AND source = 'sitemap' AND NOT noindex),
+        m AS (SELECT * FROM k WHERE NOT regexp_matches(canonical, '^https://(www\\.)?site\\.test/')
+              OR coalesce(CASE WHEN canonical NOT LIKE '%?%' THEN rtrim(replace(canonical, '//www.', '//'), '/') || '/' END, '-') = target)
+        SELECT target AS url, coalesce(arg_min(day, url) FILTER (WHERE day <> ''), '') AS lastmod FROM m GROUP BY target""",
+    "redirect_rules": f"""WITH t(from_url, to_url, status) AS (VALUES {REDIRECTS}),
+        u AS (SELECT to_url, regexp_extract(from_url, '^https://[^/]*([^?#]*)', 1) AS a, regexp_extract(to_url, '^https://[^/]*([^?#]*)', 1) AS b, regexp_extract(to_url, '(\\?[^#]+)', 1) AS q FROM t
+              WHERE from_url NOT LIKE '%?%' AND regexp_matches(to_url, '^https://(site|alias)\\.test/'))
+        SELECT a AS from_path, arg_min(b || q, to_url) AS to_ref FROM u
+        WHERE rtrim(a, '/') <> rtrim(b, '/') AND NOT regexp_matches(a || b || q, '[\\s''"$\\\\{{}}]') GROUP BY a""",
     "email_decode": f"""WITH t(code) AS (VALUES {EMAILS}),
         b AS (SELECT code, CASE WHEN regexp_full_match(code, '(?:[0-9a-fA-F]{{2}}){{2,}}') THEN list_transform(range(0, (length(code) // 2)::INT), lambda i: ('0x' || substr(code, (2 * i + 1)::INT, 2))::INT) END AS x FROM t)
         SELECT code, CASE WHEN list_max(list_transform(x[2:], lambda v: xor(v, x[1]))) < 128 THEN array_to_string(list_transform(x[2:], lambda v: chr(xor(v, x[1])::INT)), '') END AS mail FROM b""",
@@ -348,7 +426,47 @@ SQL = {
     "mobile_verdicts": f"""WITH t(url, desktop, mobile, mobile_ok, control) AS (VALUES {MOBILE}),
         n AS (SELECT url, mobile_ok, {_NOISE.format("desktop")} AS d, {_NOISE.format("mobile")} AS m, {_NOISE.format("control")} AS c FROM t)
         SELECT url, CASE WHEN NOT mobile_ok OR m IS NULL THEN 'check-failed' WHEN m = d THEN 'same' WHEN c IS NULL THEN 'check-failed' WHEN c <> d THEN 'dynamic' ELSE 'different' END AS verdict FROM n""",
-    "sitemap_locs": "SELECT 'urlset' AS kind, loc FROM (VALUES ('https://site.test/a/?b=1&c=2'), ('https://site.test/b/')) AS t(loc)",
+    "sitemap_walk": f"""WITH RECURSIVE t(url, status, body) AS (VALUES {SITEMAPS}),
+        d AS (SELECT url AS sitemap, regexp_matches(body, '^<(\\w+:)?sitemapindex') AS is_index,
+              list_transform(regexp_extract_all(body, '<(?:\\w+:)?(?:url|sitemap)><(?:\\w+:)?loc>\\s*(?:<!\\[CDATA\\[)?([^<\\]]*)', 1), lambda x: trim(replace(x, '&amp;', '&'))) AS locs
+              FROM t WHERE status = 200 AND regexp_matches(body, '</(\\w+:)?(sitemapindex|urlset)>$')),
+        r(url, depth) AS (SELECT 'https://site.test/' || unnest(['index', 'gone', 'bad', 'absent']) || '.xml', 0
+              UNION ALL SELECT l, depth + 1 FROM (SELECT unnest(locs) AS l, depth FROM r JOIN d ON d.sitemap = r.url WHERE is_index) WHERE regexp_matches(l, '^https://(www\\.)?site\\.test/')),
+        f AS (SELECT unnest(locs) AS url, depth, d.sitemap, is_index FROM r JOIN d ON d.sitemap = r.url)
+        SELECT url, depth, sitemap, CASE WHEN NOT regexp_matches(url, '^https://(www\\.)?site\\.test/') THEN CASE WHEN is_index THEN 'foreign-sitemap' ELSE 'foreign-page' END ELSE '' END AS note
+        FROM f WHERE NOT is_index OR NOT regexp_matches(url, '^https://(www\\.)?site\\.test/')""",
+    "signal_fixture": f"""WITH t(url, html) AS (VALUES {PAGES}),
+        k AS (SELECT *, trim(regexp_extract(html, '<title>([^<]*)', 1)) AS title, trim(regexp_extract(html, '(?i)name="description" content="([^"]*)', 1)) AS d,
+              regexp_extract(html, '<body class="([^"]*)', 1) AS c FROM t)
+        SELECT url, title, regexp_extract(html, '<html lang="([^"]*)', 1) AS lang, title <> '' AS has_title, d <> '' AS has_description, html LIKE '%name="viewport" content="w"%' AS has_viewport,
+        regexp_matches(html, '(?i)name="robots" content="[^"]*noindex') AS noindex, trim(regexp_extract(html, 'rel="canonical" href="([^"]*)', 1)) AS canonical,
+        CASE WHEN url LIKE '%/phpthumb_cache%' THEN 'phpthumb-cache' WHEN c = 'attachment' THEN 'wp-attachment' WHEN c = 'archive' AND html LIKE '%class="no-results not-found"%' THEN 'empty-archive' ELSE '' END AS artifact,
+        regexp_matches(html, '<form role="search"|<form><input name="[sq]"') AS search_form, regexp_matches(html, '<a href="(https://site\\.test)?/[^"]*[?&][sq]=') AS search_link FROM k""",
+    "rewritten_downloads": f"""WITH t(url, html) AS (VALUES {LINKED}), m(endpoint, file_path) AS (VALUES {ENDPOINTS}),
+        r AS (SELECT url, html, unnest(regexp_extract_all(html, '(?:href|src)="(/[^"]*)"', 1)) AS ref FROM t),
+        k AS (SELECT r.*, file_path FROM r JOIN m ON rtrim(regexp_extract(ref, '^[^?#]*'), '/') = rtrim(endpoint, '/')),
+        a AS (SELECT url, any_value(html) AS html, count(*) AS n, list(struct_pack(ref := ref, f := file_path)) AS c FROM k GROUP BY url)
+        SELECT url, regexp_replace(list_reduce(list_prepend(html, list_transform(c, lambda x: x.ref || chr(1) || x.f)), lambda s, x: replace(s, '"' || split_part(x, chr(1), 1) || '"', '"' || split_part(x, chr(1), 2) || '"')),
+               '(<img [^>]*[^/])>', '\\1/>', 'g') AS html, n FROM a""",
+    "image_sizes": """SELECT url, '<img src="/a.png"/><img src="/i' || k || '.png?v=1" loading="lazy" decoding="async" width="' || (k + 10) || '" height="' || (k + 20) || '"/>' AS html
+        FROM (SELECT url, min(page_id) % 7 AS k FROM pages GROUP BY url) WHERE k < 5""",
+    "origin_refs": f"""WITH t(file, text) AS (VALUES {FILES}),
+        a AS (SELECT file, unnest(regexp_extract_all(text, '<(a|link|img|script) [^>]*>')) AS e FROM t WHERE file LIKE '%.html'),
+        b AS (SELECT file, e, unnest(regexp_extract_all(e, '(\\w+)="[^"]*(?:site|alias)\\.test', 1)) AS name FROM a WHERE NOT regexp_matches(e, 'rel="(canonical|alternate)"'))
+        SELECT DISTINCT file, '<' || regexp_extract(e, '^<(\\w+)', 1) || ' ' || name || '=...>' AS place FROM b WHERE name NOT IN ('alt', 'title', 'placeholder')
+        UNION ALL SELECT file, '<style> block' FROM t WHERE regexp_matches(text, '<style>[^<]*(site|alias)\\.test')
+        UNION ALL SELECT file, regexp_extract(file, '[^.]*$') FROM t WHERE regexp_matches(file, '\\.(css|js)$') AND regexp_matches(text, '(site|alias)\\.test')""",
+    "unresolved_locs": rf"""WITH p AS (SELECT DISTINCT CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS ref FROM pages),
+        f AS (SELECT DISTINCT ltrim(trim({_PATH}, '/') || '/index.html') AS path FROM pages WHERE length({_PATH}) <= 7),
+        c AS (SELECT ref, trim(ref, '/') AS bare, ref LIKE '%/' AS dir, regexp_matches(ref, '\.[^./]*$') AS ext FROM p)
+        SELECT ref FROM c WHERE NOT CASE WHEN NOT dir AND ext THEN bare IN (SELECT path FROM f)
+          WHEN dir THEN (CASE WHEN bare = '' THEN '' ELSE bare || '/' END || 'index.html') IN (SELECT path FROM f)
+          ELSE bare IN (SELECT path FROM f) OR bare || '/index.html' IN (SELECT path FROM f) END""",
+    "css_references": """SELECT * FROM (VALUES ('a/b/c.css', '/a/i.png'), ('a/b/c.css', '/d.css'), ('a/b/c.css', '/a/b/f.png?v=1'), ('top.css', '/g.png')) AS t(file, ref)""",
+    "page_text": r"""WITH a AS (SELECT url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+        b AS (SELECT url, regexp_replace(regexp_replace(t, '<(/h1|/p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+        c AS (SELECT url, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b)
+        SELECT url, rtrim(substr(t, 1, 2000)) AS text, false AS whole_body, '' AS date FROM c""",
     "hourly_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "card_differences": "SELECT * FROM (VALUES ('li@class', 'variable'), ('li/a0#0', 'variable'), ('li/a0@href', 'variable'), ('li/img0', 'optional'), ('li/b0', 'optional')) AS t(key, what)",
 }

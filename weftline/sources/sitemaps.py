@@ -1,14 +1,19 @@
 """Sitemaps as sources and as output.
 
 `walk` follows sitemap indexes over a table of captured responses: one join a
-level, bounded in depth and files. Namespaces don't matter: elements are found
-by their local names.
+level, bounded in depth and files; what a bound or a foreign host leaves out is
+noted, not dropped in silence. Namespaces don't matter: elements are found by
+their local names, a loc as a direct child of its entry.
 """
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from weftline.functions.urls import host_key, iso_date, url_host, url_path
 
@@ -21,38 +26,68 @@ def candidates(base: str, declared: list[str], extras: tuple[str, ...] = ()) ->
     return list(dict.fromkeys([*declared, *(base.rstrip("/") + p for p in WELL_KNOWN), *extras]))
 
 
-def locs(body: Column) -> Column:
-    """The loc values of a sitemap document."""
-    found = F.regexp_extract_all(body, F.lit(r"(?is)<(?:\w+:)?loc\b[^>]*>\s*(?:<!\[CDATA\[)?\s*([^<\]]*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc>"), F.lit(1))
-    return F.transform(found, lambda x: F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")))
+DOCUMENT = StructType([StructField("kind", StringType()), StructField("locs", ArrayType(StringType())), StructField("alternates", ArrayType(StringType()))])
+
+
+def read_sitemap(body: str | None) -> tuple[str, list[str], list[str]]:
+    """(kind, locs, alternates) of a sitemap document; the kind is index, urlset or bad."""
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    try:
+        root = ElementTree.fromstring((body or "").lstrip("\ufeff \t\r\n").encode())
+    except ElementTree.ParseError:
+        return "bad", [], []
+    kind = {"sitemapindex": "index", "urlset": "urlset"}.get(local(root), "bad")
+    entries = list(root) if kind != "bad" else []
+    first = (next((c.text or "" for c in e if local(c) == "loc"), "").strip() for e in entries)
+    links = (c.get("href", "").strip() for e in entries for c in e if local(c) == "link")
+    return kind, [x for x in first if x], [x for x in links if x]
 
 
-def kind(body: Column) -> Column:
-    return F.when(body.rlike(r"(?is)<(?:\w+:)?sitemapindex\b"), "index").when(body.rlike(r"(?is)<(?:\w+:)?urlset\b"), "urlset").otherwise("bad")
+@F.pandas_udf(DOCUMENT)
+def sitemap_document(body: pd.Series) -> pd.DataFrame:
+    """`read_sitemap` as a column."""
+    return pd.DataFrame([read_sitemap(b) for b in body], columns=["kind", "locs", "alternates"])
 
 
-def walk(responses: DataFrame, roots: list[str], own_hosts: tuple[str, ...]) -> DataFrame:
-    """(url, depth, sitemap) of the pages that the sitemaps list; foreign children are skipped.
+def walk(responses: DataFrame, roots: list[str], own_hosts: tuple[str, ...], max_depth: int = MAX_DEPTH, max_files: int = MAX_FILES) -> DataFrame:
+    """(url, depth, sitemap, note): the pages that the sitemaps list, with an empty note, and what was left out.
 
-    `responses` has url, status and body (string). At most MAX_DEPTH levels and
-    MAX_FILES files are read; each level is one join.
+    Notes: `foreign-page` and `foreign-sitemap` of other hosts, `cap` of sitemaps
+    beyond `max_depth` levels or `max_files` files, taken level by level and in
+    order of their URLs. `responses` has url, status and body (string). Only
+    names of sitemaps reach the driver, `max_files` and one more a level at most.
     """
     spark = responses.sparkSession
-    own = [h.lower().removeprefix("www.") for h in own_hosts]
-    docs = responses.where("status = 200").select("url", kind(F.col("body")).alias("kind"), locs(F.col("body")).alias("locs"))
-    level = spark.createDataFrame([(u,) for u in roots], "url string").where(host_key(url_host(F.col("url"))).isin(own))
-    seen, out = set(), None
-    for depth in range(MAX_DEPTH + 1):
-        names = [r.url for r in level.distinct().limit(MAX_FILES).collect() if r.url not in seen][: MAX_FILES - len(seen)]
+    own = host_key(url_host(F.col("url"))).isin([h.lower().removeprefix("www.") for h in own_hosts])
+    docs = responses.where("status = 200").select(F.col("url").alias("sitemap"), sitemap_document("body").alias("d")).select("sitemap", "d.kind", "d.locs")
+    row = lambda d, note: d.select("url", F.lit(depth).alias("depth"), "sitemap", note.alias("note"))
+    out = spark.createDataFrame([], "url string, depth int, sitemap string, note string")
+    level, seen = spark.createDataFrame([(u, "") for u in dict.fromkeys(roots)], "url string, sitemap string"), []
+    for depth in range(max_depth + 2):
+        fresh = level.where(own).where(~F.col("url").isin(seen) if seen else F.lit(True))
+        room = max_files - len(seen) if depth <= max_depth else 0
+        names = [r.url for r in fresh.select("url").distinct().orderBy("url").limit(room + 1).collect()]
+        if len(names) > room:
+            out = out.unionByName(row(fresh.where(~F.col("url").isin(names[:room]) if room else F.lit(True)).dropDuplicates(["url"]), F.lit("cap")))
+        names = names[:room]
         if not names:
             break
-        seen.update(names)
-        here = docs.where(F.col("url").isin(names))
-        pages = here.where("kind = 'urlset'").select(F.explode("locs").alias("page"), F.lit(depth).alias("depth"), F.col("url").alias("sitemap"))
-        out = pages if out is None else out.unionByName(pages)
-        level = here.where("kind = 'index'").select(F.explode("locs").alias("url")).where(host_key(url_host(F.col("url"))).isin(own))
-    empty = spark.createDataFrame([], "page string, depth int, sitemap string")
-    return (out if out is not None else empty).withColumnRenamed("page", "url")
+        seen += names
+        here = docs.where(F.col("sitemap").isin(names))
+        pages = here.where("kind = 'urlset'").select("sitemap", F.explode("locs").alias("url"))
+        level = here.where("kind = 'index'").select("sitemap", F.explode("locs").alias("url"))
+        out = out.unionByName(row(pages, F.when(own, "").otherwise("foreign-page"))).unionByName(row(level.where(~own), F.lit("foreign-sitemap")))
+    return out
+
+
+def unresolved_locs(sitemap: DataFrame, files: DataFrame) -> DataFrame:
+    """(ref): paths of locs and alternates of generated sitemaps (`body`) that no file of the tree answers."""
+    from weftline.operators.graph import unanswered
+
+    d = sitemap_document("body")
+    refs = sitemap.select(F.explode(F.concat(d["locs"], d["alternates"])).alias("loc"))
+    path = F.when(url_path(F.col("loc")) == "", "/").otherwise(url_path(F.col("loc")))
+    return unanswered(refs.select(path.alias("ref")).distinct(), files)
 
 
 def sitemap_entries(meta: DataFrame) -> DataFrame:
