@@ -43,3 +43,23 @@ def test_run_against_single_steps(spark):
             want[r.doc_id] = len(enc.encode("".join(out) + text[at:]))
     got = {r.doc_id: r.doc_tokens for r in cp.run(spark, SF).collect()}
     assert got == want and np.all([n > 0 for n in got.values()])
+
+
+def test_odd_documents_run_through(spark):
+    """Null ids and texts, repeated rows and ids, long and empty texts, extra columns; and a table without rows."""
+    base = table(spark, SF, "documents").limit(20).withColumn("key", F.lit("k"))
+    prose = " ".join(f"the word{k} of and to" for k in range(9000))
+    odd = [(None, None), (None, None), (None, prose), (None, prose + " more"), (-1, ""), (-2, None), (-3, prose.replace("word7 ", "other ")), (-3, "x" * 100_000), (-4, "the and of to in is it " * 30)]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    docs = base.unionByName(more.select(*(F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns)))
+    for name, stage in cp.STAGES:
+        docs = cut(stage(spark, docs, SF), name)
+        if name == "near_dedup":
+            kept = {(r.doc_id, len(r.text)) for r in docs.where("doc_id is null or doc_id < 0").collect()}
+            # the long texts are near copies of each other; the id counts before null does
+            assert kept == {(-3, len(prose) + 0 + len("other ") - len("word7 "))}
+    assert docs.count() > 0
+    docs = base.limit(0)
+    for name, stage in cp.STAGES:
+        docs = cut(stage(spark, docs, SF), name)
+        assert docs.count() == 0

@@ -9,8 +9,10 @@ marker of the template can occur in escaped text; `unescape` undoes it.
 
 Defined results: a null text counts as empty, a null role as an empty role; a
 null turn sorts first; repeated rows and equal turns are each kept, ordered by
-(turn, role, text); a null conv_id is a conversation of its own; an empty table
-gives an empty table; extra columns of the input are not carried. Turn order
+(turn, role, text); rows without a conv_id are one conversation; an empty table
+gives an empty table; extra columns of the input are not carried. A conversation
+is one row of the result, so its texts have to fit in a task, however many rows
+name it; no other group is formed, and no task holds two at once. Turn order
 violations don't drop a conversation: `valid` is false and `problem` says which
 turn broke the order.
 """
@@ -100,16 +102,14 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """`formatted` with `turns`: (role, text), parsed from the string alone."""
+    """`formatted` with `turns`: (role, text, loss), parsed from the string alone; the template says which roles are learnt."""
     t = template or Template()
     pieces = F.filter(F.split("formatted", _java(t.end)), lambda p: p != "")
 
     def turn(p: Column) -> Column:
         at = F.instr(p, t.middle)
-        return F.struct(
-            unescape(F.substring(p, F.lit(len(t.start) + 1), at - (len(t.start) + 1))).alias("role"),
-            unescape(F.substring(p, at + len(t.middle), F.length(p))).alias("text"),
-        )
+        role = unescape(F.substring(p, F.lit(len(t.start) + 1), at - (len(t.start) + 1)))
+        return F.struct(role.alias("role"), unescape(F.substring(p, at + len(t.middle), F.length(p))).alias("text"), role.isin(*t.loss).alias("loss"))
 
     return formatted.withColumn("turns", F.transform(pieces, turn))
 
@@ -124,7 +124,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     out = read_back(format_conversations(rows))
-    learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    learnt = F.array_join(F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["text"]), "")
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
