@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import rewrite
 from weftline.functions import urls as U
-from weftline.operators import cards, classify, graph, pages, search
+from weftline.operators import cards, classify, graph, pages, results, search
 from weftline.plans.cover import greedy_cover
 from weftline.plans.crawl import crawl, written
 from weftline.rules import Site, load_rules
@@ -307,6 +307,52 @@ def unresolved_locs(spark, sf_dir):
     return sitemaps.unresolved_locs(body, files)
 
 
+FORMS = """
+  ('u1', '<form role="search" action="/old"><a href="">go</a></form>'), ('u2', '<form action="/s/" method="GET"><input name="s"></form>'),
+  ('u3', '<form action="/mail"><input name="m"></form>'), ('u4', '<p>form</p>')
+"""
+
+
+def wired_forms(spark, sf_dir):
+    return results.wire_forms(spark.sql(f"select * from values {FORMS} as t(url, html)"), "/s/").select("url", "n")
+
+
+def card_pages(spark, sf_dir):
+    """The lists of links of the captured pages as cards, against an index of the paths of at most four characters."""
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("card"), F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1).alias("html"))
+    index = page_links(spark, sf_dir).where("length(href) <= 4 and href rlike '^/[a-z]+$'").select(F.col("href").alias("path"))
+    return results.card_pages(rows, index)
+
+
+def dead_card_links(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("card"), F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1).alias("html"))
+    files = page_links(spark, sf_dir).where("length(href) <= 4 and href rlike '^/[a-z]+$'").select(F.concat(F.substring("href", 2, 9), F.lit("/index.html")).alias("path"))
+    return results.without_dead_links(rows, files).select("card", "n")
+
+
+SLOTS = "('/a/', 'T', 'excerpt one'), ('/b/', 'U', ''), ('/x/', 'V', 'no page')"
+
+
+def slot_index(spark, sf_dir):
+    none = "cast(null as struct<t:string,e:string,i:string,l:string>) as slot"
+    docs = spark.sql(f"select *, {none} from values ('/a/', 'A'), ('/b/', 'B'), ('/c/', 'C') as t(path, title)")
+    slots = spark.sql(f"select path, named_struct('t', t, 'e', e, 'i', '', 'l', '') as slot from values {SLOTS} as s(path, t, e)")
+    out = results.with_slots(docs, slots)
+    snippet = results.snippet_length(out).first().snippet
+    return out.select("path", "title", F.col("slot.t").alias("slot_title"), F.col("slot.e").alias("excerpt"), F.lit(snippet).alias("snippet"))
+
+
+SVGS = "('a.svg', '<svg><!-- a --><![CDATA[<!-- b -->]]><g/></svg>'), ('b.svg', '<svg/>')"
+
+
+def svg_files(spark, sf_dir):
+    return results.svg_files(spark.sql(f"select * from values {SVGS} as t(file, text)"))
+
+
+def named_hosts(spark, sf_dir):
+    return results.named_hosts(table(spark, sf_dir, "pages").select(F.col("url").alias("html")))
+
+
 def css_references(spark, sf_dir):
     css = "('a/b/c.css', 'p{background:url( \"../i.png\" )} @import \"/d.css\"; q{x:url(./e/../f.png?v=1)} r{y:url(data:1)}'), ('top.css', 'p{background:url(g.png)}')"
     return graph.css_refs(spark.sql(f"select * from values {css} as t(file, text)"))
@@ -334,6 +380,7 @@ QUERIES = {
         ranked_search, phrase_search, document_frequency, rare_term, cover_terms, snippets, echo_split, majority_language,
         index_exclusion, sitemap_entries, redirect_rules, email_decode, b64_urls, mobile_verdicts, sitemap_walk, card_differences, hourly_events,
         signal_fixture, rewritten_downloads, image_sizes, origin_refs, unresolved_locs, css_references,
+        wired_forms, card_pages, dead_card_links, slot_index, svg_files, named_hosts,
     )
 }
 
@@ -344,6 +391,10 @@ _FOLD = "replace(strip_accents(lower({0})), 'ß', 'ss')"
 _LANG = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
 _TITLE = "replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 _LINKS = "SELECT url, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref=\"([^\"]*)\"', 1)) AS href FROM pages"
+_TEXT = rf"""WITH a AS (SELECT url, {_TITLE} AS title, {_LANG} AS lang, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+        b AS (SELECT * REPLACE (regexp_replace(regexp_replace(t, '<(/h1|/p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t) FROM a),
+        c AS (SELECT * REPLACE (trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t) FROM b),
+        texts AS (SELECT url, title, lang, rtrim(substr(t, 1, 2000)) AS text FROM c) """
 _DYNAMIC = "(?i)" + "|".join(f"(?:{p})" for p in RULES.dynamic_paths)
 _NOISE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', '', 'g'),
   '(?i)(_wpnonce|nonce|csrf[\w-]*|token)(["'']?\s*[:=]\s*["''])[A-Za-z0-9+/=._-]{{6,}}(["''])', '\1\2\3', 'g'),
@@ -462,11 +513,27 @@ SQL = {
         SELECT ref FROM c WHERE NOT CASE WHEN NOT dir AND ext THEN bare IN (SELECT path FROM f)
           WHEN dir THEN (CASE WHEN bare = '' THEN '' ELSE bare || '/' END || 'index.html') IN (SELECT path FROM f)
           ELSE bare IN (SELECT path FROM f) OR bare || '/index.html' IN (SELECT path FROM f) END""",
+    "wired_forms": f"""WITH t(url, html) AS (VALUES {FORMS})
+        SELECT url, (CASE WHEN html LIKE '%action="/s/"%' THEN 0 ELSE 1 END + CASE WHEN html ILIKE '%method="get"%' THEN 0 ELSE 1 END + CASE WHEN html LIKE '%<a href="">%' THEN 1 ELSE 0 END)::BIGINT AS n
+        FROM t WHERE regexp_matches(html, '<form[^>]*role="search"|<input name="[sq]"') AND NOT (html LIKE '%action="/s/"%' AND html ILIKE '%method="get"%')""",
+    "card_pages": f"""WITH l AS ({_LINKS}), i AS (SELECT DISTINCT href AS path FROM l WHERE length(href) <= 4 AND regexp_full_match(href, '/[a-z]+')),
+        c AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), 'href="([^"]*)"', 1) AS h FROM pages),
+        p AS (SELECT page_id, unnest(h) AS path, unnest(range(len(h))) AS pos FROM c)
+        SELECT page_id::VARCHAR AS card, arg_min(path, pos) AS path FROM p JOIN i USING (path) GROUP BY page_id""",
+    "dead_card_links": f"""WITH l AS ({_LINKS}), i AS (SELECT DISTINCT href AS path FROM l WHERE length(href) <= 4 AND regexp_full_match(href, '/[a-z]+')),
+        p AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), 'href="([^"]*)"', 1)) AS path FROM pages)
+        SELECT page_id::VARCHAR AS card, count(*) AS n FROM p WHERE path LIKE '/%' AND path NOT IN (SELECT path FROM i) GROUP BY page_id""",
+    "slot_index": f"""WITH d(path, title) AS (VALUES ('/a/', 'A'), ('/b/', 'B'), ('/c/', 'C')), s(path, t, e) AS (VALUES {SLOTS})
+        SELECT path, title, t AS slot_title, e AS excerpt, coalesce(greatest(180, least(600, max(length(nullif(e, ''))) OVER ())), 300)::INT AS snippet FROM d LEFT JOIN s USING (path)""",
+    "svg_files": f"""WITH t(file, text) AS (VALUES {SVGS}), k AS (SELECT *, replace(text, '<!-- a -->', '') AS out FROM t)
+        SELECT file, out AS text, (strlen(text) - strlen(out))::BIGINT AS saved FROM k""",
+    "named_hosts": rf"""SELECT DISTINCT lower({_HOST}) AS host FROM pages WHERE regexp_matches(url, '^https?://[\w.-]+')""",
     "css_references": """SELECT * FROM (VALUES ('a/b/c.css', '/a/i.png'), ('a/b/c.css', '/d.css'), ('a/b/c.css', '/a/b/f.png?v=1'), ('top.css', '/g.png')) AS t(file, ref)""",
-    "page_text": r"""WITH a AS (SELECT url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
-        b AS (SELECT url, regexp_replace(regexp_replace(t, '<(/h1|/p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
-        c AS (SELECT url, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b)
-        SELECT url, rtrim(substr(t, 1, 2000)) AS text, false AS whole_body, '' AS date FROM c""",
+    "page_text": _TEXT + "SELECT url, text, false AS whole_body, '' AS date FROM texts",
+    "page_search": _TEXT + f""", d AS (SELECT texts.url AS path, {_FOLD.format("title")} AS t, {_FOLD.format("text")} AS c FROM texts WHERE lang = 'en')
+        SELECT path, CASE WHEN contains(t, 'the tion') THEN 1 WHEN contains(t, 'the') AND contains(t, 'tion') THEN 2 WHEN contains(t, 'the') OR contains(t, 'tion') THEN 3
+        WHEN contains(c, 'the tion') THEN 5 ELSE 6 END AS rank FROM d WHERE (contains(t, 'the') OR contains(c, 'the')) AND (contains(t, 'tion') OR contains(c, 'tion'))
+        ORDER BY rank, path LIMIT 50""",
     "hourly_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "card_differences": "SELECT * FROM (VALUES ('li@class', 'variable'), ('li/a0#0', 'variable'), ('li/a0@href', 'variable'), ('li/img0', 'optional'), ('li/b0', 'optional')) AS t(key, what)",
 }

@@ -125,3 +125,23 @@ def download_rules(found: DataFrame, claimed: DataFrame) -> DataFrame:
     bare = F.regexp_replace("endpoint", "/+$", "")
     both = found.select(F.explode(F.array(bare, F.concat(bare, F.lit("/")))).alias("from_path"), F.col("file_path").alias("to_ref"))
     return both.join(claimed.select("from_path"), "from_path", "left_anti").where(U.redirect_safe(F.col("from_path")) & U.redirect_safe(F.col("to_ref")))
+
+
+def decomposed_url(url: str) -> str | None:
+    """The same URL with its path in decomposed spelling, None where that is the same."""
+    import unicodedata
+    from urllib.parse import quote, unquote, urlsplit, urlunsplit
+
+    parts = urlsplit(url)
+    path = quote(unicodedata.normalize("NFD", unquote(parts.path)), safe="/")
+    return None if path == parts.path else urlunsplit((parts.scheme, parts.netloc, path, "", ""))
+
+
+def with_retries(responses: DataFrame) -> DataFrame:
+    """`responses` in which a 404 takes the good answer of its decomposed spelling, if that was captured; the URL stays."""
+    other = F.pandas_udf(lambda s: s.map(lambda x: decomposed_url(x) if isinstance(x, str) else None), StringType())
+    names = [c for c in responses.columns if c != "url"]
+    missed = F.when(F.col("status") == 404, other(F.when((F.col("status") == 404) & F.col("url").rlike(r"%|[^\x00-\x7F]"), F.col("url"))))
+    good = responses.where(F.col("status") < 400).select(F.col("url").alias("__retry"), F.struct(*names).alias("__good"))
+    rows = responses.withColumn("__retry", missed).join(good, "__retry", "left")
+    return rows.select("url", *(F.when(F.col("__good").isNotNull(), F.col("__good")[c]).otherwise(F.col(c)).alias(c) for c in names))
