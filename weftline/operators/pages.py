@@ -117,13 +117,17 @@ def artifact(url: str, html: str) -> str:
     return "empty-archive" if "archive" in own and any(c >= NOTHING_FOUND for c in classes) else ""
 
 
-def parse_page(url: str, html: str | None, site: Site | None = None, rules: Rules | None = None, limit: int = 2000) -> dict:
-    """Everything the operators ask of one page; without a site, the page's own host is the site."""
+#: The dear parts of a parse, which a reader of signals alone can do without.
+PARTS = ("links", "text")
+
+
+def parse_page(url: str, html: str | None, site: Site | None = None, rules: Rules | None = None, limit: int = 2000, parts: tuple[str, ...] = PARTS) -> dict:
+    """Everything the operators ask of one page; without a site, the page's own host is the site. Of PARTS, those not in `parts` stay empty."""
     base = urlsplit(url)
     site = site or Site(f"{base.scheme}://{base.netloc}", rules=rules or load_rules())
     u, root = Urls(site), H.parse(html)
     links = []
-    for tag, attr, rel, ref in candidates(root, site.rules):
+    for tag, attr, rel, ref in candidates(root, site.rules) if "links" in parts else ():
         found = u.swept(ref) if attr == "text" else route(u, url, tag, set(rel.split()), ref)
         links.extend({"pos": len(links) + i, "tag": tag, "attr": attr, "rel": rel, "ref": "" if attr == "text" else ref, "kind": kind, "dst": dst} for i, (kind, dst) in enumerate(found))
     alternates: dict[str, str] = {}
@@ -131,12 +135,12 @@ def parse_page(url: str, html: str | None, site: Site | None = None, rules: Rule
         if "alternate" in n.words("rel") and (tag := n.get("hreflang").strip()) and u.internal(n.get("href").strip()) and (dst := u.page(u.based(n.get("href").strip()))):
             alternates.setdefault(tag, dst)
     content = H.content_root(root)
-    text = H.visible_text(content if content is not None else H.body_of(root), limit)
+    text = H.visible_text(content if content is not None else H.body_of(root), limit) if "text" in parts else ""
     return {"url": url, **H.signals(root, lambda ref: u.internal(u.resolved(url, ref))), "artifact": artifact(url, html or ""), "text": text, "whole_body": content is None, "alternates": list(alternates.items()), "links": links, "error": ""}
 
 
-def parse_pages(pages: DataFrame, site: Site | None = None, url: str = "url", html: str = "html", limit: int = 2000) -> DataFrame:
-    """One row per page with the columns of PARSED."""
+def parse_pages(pages: DataFrame, site: Site | None = None, url: str = "url", html: str = "html", limit: int = 2000, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One row per page with the columns of PARSED; Catalyst can't prune a parse, so `parts` says which of PARTS are wanted."""
     rules = site.rules if site else load_rules()
 
     def run(batches):
@@ -144,7 +148,7 @@ def parse_pages(pages: DataFrame, site: Site | None = None, url: str = "url", ht
             rows = []
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
                 try:
-                    rows.append(parse_page(a.as_py() or "", b.as_py(), site, rules, limit))
+                    rows.append(parse_page(a.as_py() or "", b.as_py(), site, rules, limit, parts))
                 except Exception as e:  # noqa: BLE001  a page can hold anything; it is marked, the run goes on
                     rows.append({"url": a.as_py(), "error": f"{type(e).__name__}: {e}"[:500]})
             for k in range(0, len(rows), 500):

@@ -26,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.parse_pages(table(spark, sf_dir, "pages"))
+def parsed(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    """The parsed pages: their signals, and what `parts` names besides."""
+    return pages.parse_pages(table(spark, sf_dir, "pages"), parts=parts)
 
 
 def _meta(rows: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_search(spark, sf_dir):
     """Flagship: parse, index and search the captured pages."""
-    docs = parsed(spark, sf_dir).select(F.col("url").alias("path"), "title", F.col("description").alias("desc"), "text", F.struct(F.lit("").alias("t"), F.lit("").alias("e"), "date", "lang").cast("struct<t:string,e:string,i:string,l:string>").alias("slot"))
+    docs = parsed(spark, sf_dir, "text").select(F.col("url").alias("path"), "title", F.col("description").alias("desc"), "text", F.struct(F.lit("").alias("t"), F.lit("").alias("e"), "date", "lang").cast("struct<t:string,e:string,i:string,l:string>").alias("slot"))
     return search.search(search.search_fields(docs), "the tion", lang="en", limit=50).select("path", "rank")
 
 
@@ -70,7 +71,7 @@ def page_links(spark, sf_dir):
 
 
 def page_edges(spark, sf_dir):
-    return pages.links(parsed(spark, sf_dir)).where("kind = 'page' and tag = 'a'").select("src", "dst").distinct()
+    return pages.links(parsed(spark, sf_dir, "links")).where("kind = 'page' and tag = 'a'").select("src", "dst").distinct()
 
 
 def link_kinds(spark, sf_dir):
@@ -123,7 +124,7 @@ def reachable(spark, sf_dir):
 
 
 def page_text(spark, sf_dir):
-    return parsed(spark, sf_dir).select("url", "text", "whole_body", "date")
+    return parsed(spark, sf_dir, "text").select("url", "text", "whole_body", "date")
 
 
 def rewritten_pages(spark, sf_dir):
