@@ -57,10 +57,22 @@ def test_radius_holds_pairs_at_the_least_similarity():
         n = 9 * int(rng.integers(3, 60))
         x = rng.integers(0, 2**64, n + n // 9, np.uint64)
         a, b = near_copies.wide_print(x[:n]), near_copies.wide_print(x[n // 9 :])
-        missed += len(near_copies.print_links(a[None], b[None])[0]) == 0
+        missed += not any(len(i) for i, _ in near_copies.print_links(a[None], b[None]))
     assert missed <= 10
 
 
+def test_forest_of_dense_groups(monkeypatch):
+    """Edges in parts, all pairs of two groups among them, are merged as they come."""
+    monkeypatch.setattr(simhash, "PENDING", 50)
+    forest = simhash.Forest(300)
+    for k in range(200):
+        same = np.arange(k % 2, 200, 2)
+        forest.add(np.full(len(same), k), same)
+        assert forest.size < 50
+    label = forest.merge()
+    assert list(label[:200]) == [0, 1] * 100 and list(label[200:]) == list(range(200, 300))
+
+
 def test_rows_that_differ_in_other_columns(spark):
     rows = [(1, "a b c d e f g", k) for k in range(20)]
     got = [sorted(map(tuple, near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(n)).collect())) for n in (1, 7)]

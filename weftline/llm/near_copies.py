@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
-from weftline.llm.simhash import BLOCK, _forest, components, majority
+from weftline.llm.simhash import BLOCK, Forest, components, majority
 
 SHINGLE = 5
 RADIUS = 32
@@ -81,30 +81,29 @@ def _sketch_batches(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "row", "node", "n", "f", "g"])
 
 
-def print_links(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i in a, j in b) that span the pairs of fingerprints (n x 2 words) within the radius, block by block."""
-    one, two = [], []
+def print_links(a: np.ndarray, b: np.ndarray, radius: int = RADIUS):
+    """Places (i in a, j in b) of the pairs of fingerprints (n x 2 words) within the radius, a block at a time."""
     for k in range(0, len(a), BLOCK):
         far = np.bitwise_count(a[k : k + BLOCK, None, 0] ^ b[None, :, 0])
         far += np.bitwise_count(a[k : k + BLOCK, None, 1] ^ b[None, :, 1])
         i, j = np.nonzero(far <= radius)
-        one.append(i + k)
-        two.append(j)
-    return np.concatenate(one), np.concatenate(two)
+        yield i + k, j
 
 
 def _candidate_batches(batches):
     for batch in batches:
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
             (u, x), (v, y) = ((t["nodes"].values.to_numpy(zero_copy_only=False), np.stack([t[c].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("f", "g")], axis=1)) for t in (a, b))
-            i, j = print_links(x, y)
-            yield from _spanning(np.concatenate([u, v]), i, len(u) + j)
+            yield from _spanning(np.concatenate([u, v]), ((i, len(u) + j) for i, j in print_links(x, y)))
 
 
-def _spanning(nodes: np.ndarray, i: np.ndarray, j: np.ndarray):
-    """A forest that spans the edges between the places i and j of `nodes`, which may repeat."""
+def _spanning(nodes: np.ndarray, edges):
+    """A forest that spans edges (arrays of places, in parts) of `nodes`, which may repeat."""
     known, place = np.unique(nodes, return_inverse=True)
-    label = _forest(place[i], place[j], len(known))
+    forest = Forest(len(known))
+    for i, j in edges:
+        forest.add(place[i], place[j])
+    label = forest.merge()
     moved = np.nonzero(label != np.arange(len(known)))[0]
     if len(moved):
         yield pa.RecordBatch.from_arrays([pa.array(known[moved]), pa.array(known[label[moved]])], names=["u", "v"])
@@ -144,9 +143,9 @@ def _set_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(sets, pa.list_(pa.int64()))], names=["node", "cluster", "n", "shingles"])
 
 
-def similar(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs of sets whose Jaccard similarity is at least 4/5."""
-    at, one, two = np.cumsum([0, *map(len, a + b)]), [], []
+def similar(a: list[np.ndarray], b: list[np.ndarray]):
+    """Places (i, j) of the pairs of sets whose Jaccard similarity is at least 4/5, for one i at a time."""
+    at = np.cumsum([0, *map(len, a + b)])
     known, ids = np.unique(np.concatenate(a + b), return_inverse=True)
     sizes, mark = np.diff(at), np.zeros(len(known), np.int32)
     first = at[len(a)]
@@ -156,17 +155,14 @@ def similar(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.nd
         common = np.add.reduceat(mark[ids[first:]], at[len(a) : -1] - first)
         mark[mine] = 0
         j = np.nonzero(9 * common >= 4 * (sizes[i] + sizes[len(a) :]))[0]
-        one.append(np.full(len(j), i))
-        two.append(j)
-    return np.concatenate(one), np.concatenate(two)
+        yield np.full(len(j), i), j
 
 
 def _link_batches(batches):
     for batch in batches:
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
             (u, x), (v, y) = (zip(*((r["node"].as_py(), r["shingles"].values.to_numpy(zero_copy_only=False)) for r in side), strict=True) for side in (a, b))
-            i, j = similar(list(x), list(y))
-            yield from _spanning(np.array(u + v, np.int64), i, len(u) + j)
+            yield from _spanning(np.array(u + v, np.int64), ((i, len(u) + j) for i, j in similar(list(x), list(y))))
 
 
 def links(texts: DataFrame, tile: int = TILE) -> DataFrame:

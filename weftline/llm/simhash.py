@@ -93,13 +93,44 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+#: Edges that a forest holds before it merges them.
+PENDING = 200_000
+
+
+class Forest:
+    """Components of n nodes under edges that come in parts; edges within a component are dropped at once, so a dense group costs no more than its nodes."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j = self.label[i], self.label[j]
+        fresh = i != j
+        if fresh.any():
+            self.edges.append((i[fresh], j[fresh]))
+            self.size += int(fresh.sum())
+            if self.size >= PENDING:
+                self.merge()
+
+    def merge(self) -> np.ndarray:
+        """The smallest node of each node's component."""
+        if self.edges:
+            i, j = (np.concatenate(x) for x in zip(*self.edges, strict=True))
+            self.label = _forest(i, j, len(self.label))[self.label]
+            self.edges, self.size = [], 0
+        return self.label
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, same: bool, spent: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Forest edges between the fingerprints of two tiles; `spent` of the radius is used up by the groups' counts."""
     rest = lambda x: np.bitwise_count(x >> np.uint64(32))
     a = a[np.argsort(rest(a), kind="stable")]
     b = a if same else b[np.argsort(rest(b), kind="stable")]
     left, pa_, pb = radius - spent, rest(a).astype(np.int64), rest(b).astype(np.int64)
-    one, two = [], []
+    nodes = a if same else np.concatenate([a, b])
+    forest = Forest(len(nodes))
     for count in np.unique(pa_):
         lo, hi = np.searchsorted(pa_, [count, count + 1])
         blo, bhi = np.searchsorted(pb, [count - left, count + left + 1])
@@ -108,12 +139,8 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, spent: int, radius: int
         for k in range(lo, hi, BLOCK):
             near = np.bitwise_count(a[k : min(k + BLOCK, hi), None] ^ b[None, blo:bhi]) <= radius
             i, j = np.nonzero(near)
-            one.append(i + k)
-            two.append(j + blo + (0 if same else len(a)))
-    if not one:
-        return a[:0], a[:0]
-    nodes = a if same else np.concatenate([a, b])
-    label = _forest(np.concatenate(one), np.concatenate(two), len(nodes))
+            forest.add(i + k, j + blo + (0 if same else len(a)))
+    label = forest.merge()
     moved = np.nonzero(label != np.arange(len(nodes)))[0]
     return nodes[moved], nodes[label[moved]]
 
