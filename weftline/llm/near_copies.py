@@ -71,13 +71,17 @@ def wide_print(found: np.ndarray) -> np.ndarray:
     return majority(np.stack([found, _mixed(found)], axis=1))
 
 
+def _sketch(text: str | None) -> tuple[int, int, int, int]:
+    """(node, number of shingles, both words of the fingerprint) of one text."""
+    ws = words(text)
+    found = shingles(ws)
+    return xxhash.xxh64_intdigest(b" ".join(ws)), len(found), *map(int, wide_print(found))
+
+
 def _sketch_batches(batches):
     for batch in batches:
-        texts = [words(t.as_py()) for t in batch.column(3)]
-        nodes = np.array([xxhash.xxh64_intdigest(b" ".join(ws)) for ws in texts], np.uint64).view(np.int64)
-        sets = [shingles(ws) for ws in texts]
-        prints = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-        columns = [*(batch.column(k) for k in range(3)), *map(pa.array, (nodes, [len(s) for s in sets], prints[:, 0], prints[:, 1]))]
+        got = np.array([_sketch(t.as_py()) for t in batch.column(3)], np.uint64).reshape(-1, 4).view(np.int64)
+        columns = [*(batch.column(k) for k in range(3)), *(pa.array(got[:, k]) for k in range(4))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "row", "node", "n", "f", "g"])
 
 
