@@ -1,6 +1,5 @@
 import struct
 
-import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import cards, classify, graph, pages, search

@@ -403,7 +403,22 @@ _NOISE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(re
   '(?i)[?&](?:ver|v|t|cache|nocache)=[^\s"''&<>]+', '', 'g'), '\s+', ' ', 'g'))"""
 _SEARCHED = f"""SELECT doc_id::VARCHAR AS path, {_FOLD.format("split_part(text, chr(10), 1)")} AS t, {_FOLD.format("text")} AS c FROM documents"""
 
+
+
+def _cover_sql(rounds: int = 12) -> str:
+    """The greedy cover, a round's best term and what it leaves open as two steps each."""
+    out = [rf"""t0 AS MATERIALIZED (SELECT doc_id AS path, 0 AS pool, unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}'))) AS term FROM documents
+        UNION ALL SELECT path, 1, term FROM (SELECT doc_id AS path, unnest(list_distinct(regexp_extract_all({_FOLD.format("text")}, '\p{{L}}{{2,32}}'))) AS term FROM documents) WHERE length(term) BETWEEN 4 AND 24)"""]
+    for k in range(1, rounds + 1):
+        out.append(f"b{k} AS MATERIALIZED (SELECT {k} AS round, pool, term, count(*) AS n FROM t{k - 1} GROUP BY pool, term ORDER BY pool, n DESC, term LIMIT 1)")
+        out.append(f"t{k} AS MATERIALIZED (SELECT * FROM t{k - 1} WHERE path NOT IN (SELECT path FROM t{k - 1} JOIN b{k} USING (pool, term)))")
+    every = " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, rounds + 1))
+    return "WITH " + ",\n        ".join(out) + f""", e AS ({every}), l AS (SELECT (SELECT count(DISTINCT doc_id) FROM documents) - (SELECT sum(n) FROM e) AS n)
+        SELECT round::INT AS round, term, n::BIGINT AS covered FROM e UNION ALL SELECT NULL, NULL, n::BIGINT FROM l WHERE n > 0"""
+
+
 SQL = {
+    "cover_terms": _cover_sql(),
     "language_counts": f"SELECT lower(split_part(replace({_LANG}, '_', '-'), '-', 1)) AS \"primary\", count(*) AS n FROM pages WHERE {_LANG} <> '' GROUP BY 1",
     "host_counts": f"SELECT {_KEY} AS host, count(*) AS n FROM pages GROUP BY 1",
     "extension_counts": rf"SELECT lower(regexp_extract({_PATH}, '\.([^./]*)$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1",
