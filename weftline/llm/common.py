@@ -59,15 +59,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a file that `cut` writes, at least, where it is told how many there are.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
     Ends the lineage: a lost executor costs a reread, not a recomputation, and
-    what is used twice is computed once.
+    what is used twice is computed once. Given a bound of its `rows`, few rows
+    go to few files.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -199,12 +199,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
     seen = mark(state)
     while seen[0]:
+        size = 2 * seen[0]  # a step gives each edge one or two in return
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = cut(turn(large), "edges")
+        large = cut(turn(large), "edges", size)
         low = least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        state = cut(turn(small), "edges")
+        state = cut(turn(small), "edges", size)
         now = mark(state)
         if now == seen:
             break
