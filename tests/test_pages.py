@@ -34,6 +34,15 @@ def test_artifacts():
     assert a("https://x/a/", '<body class="archive"><section class="wpa-no-results not-found">') == "" == a("https://x/", '<body><img class="attachment">')
 
 
+def test_artifacts_of_long_pages():
+    long = "<style>" + "p{margin:0}ä" * 50_000 + "</style>"  # 600,000 characters, more bytes
+    assert pages.artifact("https://x/a/", f'<head>{long}</head><body class="attachment">') == "wp-attachment"
+    assert pages.artifact("https://x/a/", f'<body class="archive">{long}<section class="no-results not-found">') == "empty-archive"
+    assert pages.parse_page("https://x/a/", f'<head>{long}</head><body class="attachmentid-7">')["artifact"] == "wp-attachment"
+    assert pages.artifact("https://x/a/", "<body" * 100_000 + '><body class="single-attachment">') == "wp-attachment"  # in one pass
+    assert pages.artifact("https://x/a/", f'{long}<body><body id=a class="b"><body class="attachment">') == ""  # the first class of a body
+
+
 def test_bad_pages_are_marked(spark):
     rows = spark.createDataFrame([("https://x.de/", "<p>ok"), ("http://[bad", "<p>x"), (None, None)], "url string, html string")
     got = {r.url: r for r in pages.parse_pages(rows).collect()}
