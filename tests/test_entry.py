@@ -28,6 +28,15 @@ def test_queries_against_sql(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in pick) for r in want.fetchall()), key=repr)
 
 
+def test_robots_verdict_of_pages_captured_twice(spark, tmp_path):
+    urls = ["https://s.test/en/1", "https://s.test/en/1", "https://s.test/en/15", "https://s.test/fr/a.html", "https://s.test/fr/a.html?x=1", "https://s.test", None, None]
+    spark.createDataFrame([(k, u, f"<p>{k}") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted((tuple(r) for r in QUERIES["robots_verdict"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(con.sql(SQL["robots_verdict"]).fetchall(), key=repr) and len(got) == 6 and ("https://s.test/en/1", True) in got
+
+
 def test_works_without_the_subpackage(tmp_path):
     code = "import sys; sys.modules['weftline.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and 'pipeline' not in e.queries(); print(len(e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ROOT})
